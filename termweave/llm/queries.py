@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing
-from .common import table
+
+from . import bpe, lines, media, mixing
+from .common import table, text_of
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +22,33 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op4_mix_sources": op4_mix_sources}
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(text_of("text")).cast("long").alias("n_bytes"), "text")
+    read = media.wav_features(media.wav_column(docs))
+    return read.select(
+        "doc_id", "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.sha2(F.array_join(F.col("fingerprint").cast("array<string>"), ","), 256).alias("feature"),
+        F.size("fingerprint").alias("n_pairs"),
+    )
+
+
+def _digests(encoded: DataFrame) -> DataFrame:
+    """Of ids, and of the bytes that they decode to."""
+    read = bpe.decode(encoded, RANKS, public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return read.select("*", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")).drop("decoded")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_media_columns": op3_media_columns, "op4_mix_sources": op4_mix_sources, "op10_bpe": op10_bpe}
 ORACLE_SQL = {"op2_line_dedup": lines.SQL}
