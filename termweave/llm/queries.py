@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-from . import bpe, lines, media, mixing
+from . import bpe, langid, lines, media, mixing, quality
 from .common import table, text_of
 
 
@@ -49,6 +48,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def _held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", _held_out().alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~_held_out())
+    scored = quality.score(docs, quality.fit_sample(docs.filter("not held_out"), labels))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _held_out().alias("held_out"))
+    model = langid.fit_sample(docs.filter("not held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_media_columns": op3_media_columns, "op4_mix_sources": op4_mix_sources, "op10_bpe": op10_bpe}
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_media_columns": op3_media_columns, "op4_mix_sources": op4_mix_sources, "op5_quality": op5_quality, "op7_langid": op7_langid, "op10_bpe": op10_bpe}
 ORACLE_SQL = {"op2_line_dedup": lines.SQL}
