@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, media, mixing, quality
+from . import bpe, langid, lines, media, mixing, quality, simhash
 from .common import table, text_of
 
 
@@ -65,6 +65,11 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, distance=4)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_media_columns": op3_media_columns, "op4_mix_sources": op4_mix_sources, "op5_quality": op5_quality, "op7_langid": op7_langid, "op10_bpe": op10_bpe}
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_media_columns": op3_media_columns, "op4_mix_sources": op4_mix_sources, "op5_quality": op5_quality, "op7_langid": op7_langid, "op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
 ORACLE_SQL = {"op2_line_dedup": lines.SQL}
