@@ -10,25 +10,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import lines, mixing
+from termweave.llm import lines, mixing, quality, simhash
 from termweave.llm.common import staged, table
+from termweave.llm.queries import digests, encoded, held_out
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality the classifier puts under 0.7 go. Labels of held-out documents are not learned from."""
+    model = quality.fit_sample(docs.filter(~held_out()), table(spark, sf_dir, "labels").filter(~held_out()))
+    return quality.score(docs.select(*COLUMNS), model, score_out="__score", keep_text=True).filter("__score >= 0.7").select(*COLUMNS)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents go from all; n_chars is counted anew."""
     kept = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs, min_docs=10, min_chars=1), kept_col="text")
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the least id."""
+    return simhash.one_of_each(docs.select(*COLUMNS), shingle=4, distance=4)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     mixed = mixing.mix(docs, weights=(5, 2, 1), budget=1.5, limit=2)
     return mixed.select(*COLUMNS, F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).select(*COLUMNS)
 
 
-STAGES = [("line dedup", line_dedup), ("mixing", mix_sources)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids, and digests of the ids and of what they decode to; a row for each copy."""
+    return digests(encoded(docs.select("doc_id", "source", "text"))).select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources", mix_sources),
+    ("byte-level BPE", tokens),
+]
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lines, media, mixing, quality, simhash, warc
+from . import bpe, chat, hnsw, langid, lines, media, mixing, quality, simhash, warc
 from .common import scratch_path, table, text_of
 
 
@@ -49,7 +49,11 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _digests(encoded: DataFrame) -> DataFrame:
+def encoded(docs: DataFrame) -> DataFrame:
+    return bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+
+
+def digests(encoded: DataFrame) -> DataFrame:
     """Of ids, and of the bytes that they decode to."""
     read = bpe.decode(encoded, RANKS, public_tokenizers.PATTERN)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -57,23 +61,27 @@ def _digests(encoded: DataFrame) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return digests(encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-def _held_out() -> Column:
+def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", _held_out().alias("held_out"))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~_held_out())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out().alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~held_out())
     scored = quality.score(docs, quality.fit_sample(docs.filter("not held_out"), labels))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hnsw.clean_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return hnsw.nearest(hnsw.build_index(vectors, k=10), vectors.filter("id % 100 = 0"), k=10)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _held_out().alias("held_out"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
     model = langid.fit_sample(docs.filter("not held_out"))
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -98,5 +106,5 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_line_dedup": op2_line_dedup, "op3_media_columns": op3_media_columns, "op4_mix_sources": op4_mix_sources, "op5_quality": op5_quality, "op7_langid": op7_langid, "op8_simhash": op8_simhash, "op9_warc": op9_warc, "op10_bpe": op10_bpe}
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_line_dedup": op2_line_dedup, "op3_media_columns": op3_media_columns, "op4_mix_sources": op4_mix_sources, "op5_quality": op5_quality, "op6_ann": op6_ann, "op7_langid": op7_langid, "op8_simhash": op8_simhash, "op9_warc": op9_warc, "op10_bpe": op10_bpe}
 ORACLE_SQL = {"op1_chat_format": chat.SQL, "op2_line_dedup": lines.SQL, "op9_warc": warc.SQL}

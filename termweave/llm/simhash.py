@@ -249,3 +249,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_root = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = joined.join(of_root, "root").select("fp", "root", "component_id")
     return rows.join(of_fp, "fp").select("id", "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
+    """docs with one row of each component: that of the least id (null last), then of the least text hash, then the least row."""
+    columns = docs.columns
+    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
+    found = near_duplicates(docs.select(key.alias("__key"), text_col), "__key", text_col, shingle, distance)
+    kept = found.select(F.col("component_id.id").alias("__id"), F.col("component_id.th").alias("__th")).distinct()
+    rows = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["__id"]) & (rows["__h"] == kept["__th"]), "left_semi")
+    first = rows.groupBy(id_col, "__h").agg(F.min(F.struct(*columns)).alias("__row"))
+    return first.select(*(F.col("__row")[c].alias(c) for c in columns))
