@@ -49,13 +49,17 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     there = nodes.join(parents, nodes.t.eqNullSafe(F.col("pt")) & (nodes.p == F.col("pn")), "left")
     jump = staged(there.select("t", "n", F.col("pn").alias("anc"), F.col("pn").isNotNull().cast("long").alias("hops"), F.coalesce("s", F.lit(0.0)).cast("double").alias("total")), "chat-jumps")
     first, jumps, most = jump, [], 1 + math.ceil(math.log2(max(2, nodes.count())))
+    done = jump.filter("anc is null")
     while len(jumps) < most and jump.filter("anc is not null").limit(1).count():
-        jumps.append(jump.filter("anc is not null").select(F.col("t").alias("jt"), F.col("n").alias("jn"), "anc"))
-        on = jump.select(F.col("t").alias("ot"), F.col("n").alias("on"), F.col("anc").alias("over"), F.col("hops").alias("more"), F.col("total").alias("sum"))
-        met = jump.join(on, jump.t.eqNullSafe(F.col("ot")) & (jump.anc == F.col("on")), "left")
-        jump = staged(met.select("t", "n", F.col("over").alias("anc"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), (F.col("total") + F.coalesce("sum", F.lit(0.0))).alias("total")), "chat-jumps")
+        # only messages that don't see their root yet are joined on; those that do are only looked up
+        jump = jump.filter("anc is not null")
+        jumps.append(jump.select(F.col("t").alias("jt"), F.col("n").alias("jn"), "anc"))
+        on = jump.unionAll(done).select(F.col("t").alias("ot"), F.col("n").alias("on"), F.col("anc").alias("over"), F.col("hops").alias("more"), F.col("total").alias("sum"))
+        met = jump.join(on, jump.t.eqNullSafe(F.col("ot")) & (jump.anc == F.col("on")))
+        jump = staged(met.select("t", "n", F.col("over").alias("anc"), (F.col("hops") + F.col("more")).alias("hops"), (F.col("total") + F.col("sum")).alias("total")), "chat-jumps")
+        done = done.unionAll(jump.filter("anc is null"))
     inner = first.filter("anc is not null").select(F.col("t").alias("it"), F.col("anc").alias("inner")).distinct()
-    leaves = jump.filter("anc is null").join(inner, jump.t.eqNullSafe(F.col("it")) & (jump.n == F.col("inner")), "left_anti")
+    leaves = done.join(inner, done.t.eqNullSafe(F.col("it")) & (done.n == F.col("inner")), "left_anti")
     best = Window.partitionBy("t").orderBy(F.col("total").desc(), F.col("hops").desc(), "n")
     paths = leaves.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= branches).select("t", F.col("n").alias("leaf"), "n", F.col("hops").alias("depth"))
     for level in reversed(range(len(jumps))):
