@@ -28,6 +28,8 @@ UND = "und"
 BITS, ORDERS = 16, (1, 2, 3)
 #: Labelled texts of each language, and of all, that the counts are taken from.
 PER_LANG, MAX_FIT = 800, 16_000
+#: Languages that can be learned, the most frequent ones.
+MAX_LANGS = 256
 #: Code points hashed at once.
 PIECE = 1 << 18
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -106,7 +108,13 @@ def fit_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The model of at most per_lang texts of each language and max_fit in all; rows without text or language don't count."""
     able = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
     order = F.xxhash64("id", F.lit("langid"))
-    picked = able.select("id", "lang", F.xxhash64("text").alias("t")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, "id", "t"))).filter(F.col("k") <= per_lang)
+    per = able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    if not per:
+        return None
+    # of a frequent language only hashes below a share that leaves enough rows are ranked
+    share = F.create_map(*(F.lit(x) for r in per for x in (r.lang, min(1.0, (1.5 * per_lang + 100) / r.n))))
+    few = able.select("id", "lang", F.xxhash64("text").alias("t")).filter(F.pmod(order, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    picked = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, "id", "t"))).filter(F.col("k") <= per_lang)
     picked = picked.orderBy("k", "lang").limit(max_fit).select(F.col("id").alias("i"), F.col("lang").alias("l"), "t").distinct()
     found = able.join(F.broadcast(picked), F.col("id").eqNullSafe(F.col("i")) & (F.col("lang") == F.col("l")) & (F.xxhash64("text") == F.col("t"))).dropDuplicates(["id", "lang", "t"])
     rows = sorted(found.select("id", "lang", "text").collect(), key=lambda r: (r.id is None, r.id, r.lang, r.text))
