@@ -225,12 +225,13 @@ def components(links: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = pair(now, "a", "b").unionAll(pair(now, "b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # written first, so that the joins below shuffle both sides and a node with very many links can be split
+        least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "component-least")
         # large star: each larger neighbour to the least one
         now = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         now = staged(now, "component-links")
         # small star: each smaller neighbour, and the node itself, to the least one
-        down = now.groupBy("a").agg(F.min("b").alias("m"))
+        down = staged(now.groupBy("a").agg(F.min("b").alias("m")), "component-least")
         met = now.join(down, "a")
         now = staged(met.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionAll(down.select("a", F.col("m").alias("b"))).distinct(), "component-links")
         at = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
