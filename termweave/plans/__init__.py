@@ -1,0 +1,6 @@
+"""The registered queries over the relational test tables, and their oracles."""
+
+from . import graph_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

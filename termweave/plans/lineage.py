@@ -1,0 +1,18 @@
+"""Cutting lineage in loops, by files that every executor can read."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of df in spark.checkpoint.dir; only a local[...] session may lack that setting."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="termweave-"))
+    return df.checkpoint()
