@@ -17,13 +17,13 @@ MEASURES = ("phenodigm", "jaccard", "simGIC", "resnik", "symmetric_resnik", "cos
 def information_content(aset: AssociationSet) -> DataFrame:
     """(term, freq, ic): -log2 of the share of subjects that have the term by inference (SIM-03)."""
     total = F.broadcast(aset.subjects.agg(F.count("*").alias("total")))  # one row
-    return aset.term_counts.crossJoin(total).select("term", F.col("n").alias("freq"), (-F.log2(F.col("n") / F.col("total"))).alias("ic"))
+    return aset.term_counts.crossJoin(total).select("term", F.col("n").alias("freq"), F.log2(F.col("total") / F.col("n")).alias("ic"))
 
 
 def facet_content(counts: DataFrame) -> DataFrame:
     """(term, ic): -log2 of a count (term, n) over the greatest (GLR-23)."""
     top = F.broadcast(counts.agg(F.max("n").alias("top")))
-    return counts.crossJoin(top).select("term", (-F.log2(F.col("n") / F.col("top"))).alias("ic"))
+    return counts.crossJoin(top).select("term", F.log2(F.col("top") / F.col("n")).alias("ic"))
 
 
 def common_ancestors(pairs: DataFrame, reflexive: DataFrame) -> DataFrame:

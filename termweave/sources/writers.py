@@ -19,8 +19,8 @@ def _s(c: str | Column) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
 
 
-def _have(rows: DataFrame, name: str) -> Column:
-    return _s(name) if name in rows.columns else F.lit("")
+def _have(columns: Sequence[str], name: str) -> Column:
+    return _s(name) if name in columns else F.lit("")
 
 
 def _extensions() -> Column:
@@ -34,24 +34,30 @@ def with_header(lines: DataFrame, header: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(x,) for x in header], "value string").coalesce(1).union(lines)
 
 
-def gaf(rows: DataFrame, version: str = "2.2") -> DataFrame:
-    """Annotations as GAF lines: 2.1 knows two qualifiers and puts NOT last, 2.2 any relation and NOT first (SNK-01)."""
+def gaf_value(columns: Sequence[str], version: str = "2.2") -> Column:
+    """A GAF line of the columns of an annotation."""
     rel = F.when(F.col("relation").isin(*QUALIFIERS_21), F.col("relation")) if version == "2.1" else F.col("relation")
     neg = F.when(F.col("negated"), F.lit("NOT"))
     qualifier = F.concat_ws("|", rel, neg) if version == "2.1" else F.concat_ws("|", neg, rel)
     taxon = F.array_join(F.transform("taxa", lambda t: F.regexp_replace(t, "^[^:]*:", "taxon:")), "|")
+    have = lambda name: _have(columns, name)
     cols = (
-        F.substring_index("subject", ":", 1), F.regexp_extract("subject", "^[^:]*:(.*)$", 1), _have(rows, "label"), qualifier, _s("term"), F.array_join("references", "|"), _s("evidence"),
-        text.conjunctions_text(F.col("with_from")), _have(rows, "aspect"), _have(rows, "name"), _have(rows, "synonym"), _have(rows, "type"), _s(taxon), _s(F.date_format("date", "yyyyMMdd")), _s("assigned_by"), _extensions(), _have(rows, "isoform"),
+        F.substring_index("subject", ":", 1), F.regexp_extract("subject", "^[^:]*:(.*)$", 1), have("label"), qualifier, _s("term"), F.array_join("references", "|"), _s("evidence"),
+        text.conjunctions_text(F.col("with_from")), have("aspect"), have("name"), have("synonym"), have("type"), _s(taxon), _s(F.date_format("date", "yyyyMMdd")), _s("assigned_by"), _extensions(), have("isoform"),
     )
-    return rows.select(F.concat_ws("\t", *map(_s, cols)).alias("value"))
+    return F.concat_ws("\t", *map(_s, cols))
+
+
+def gaf(rows: DataFrame, version: str = "2.2") -> DataFrame:
+    """Annotations as GAF lines: 2.1 knows two qualifiers and puts NOT last, 2.2 any relation and NOT first (SNK-01)."""
+    return rows.select(gaf_value(rows.columns, version).alias("value"))
 
 
 def gpad(rows: DataFrame, version: str = "2.0") -> DataFrame:
     """Annotations as GPAD lines: 1.2 has labels of qualifiers, 2.0 relations, ISO dates and the isoform as subject (SNK-02)."""
     taxon = F.regexp_replace(_s(F.get("taxa", F.lit(1))), "^[^:]*:", "taxon:" if version == "1.2" else "NCBITaxon:")
     tail = (_s("term"), F.array_join("references", "|"), _s("evidence"), text.conjunctions_text(F.col("with_from")), taxon)
-    ends = (_s("assigned_by"), _extensions(), _have(rows, "properties") if dict(rows.dtypes).get("properties") == "string" else F.lit(""))
+    ends = (_s("assigned_by"), _extensions(), _s("properties") if dict(rows.dtypes).get("properties") == "string" else F.lit(""))
     if version == "1.2":
         neg = F.when(F.col("negated"), F.lit("NOT"))
         cols = (F.substring_index("subject", ":", 1), F.regexp_extract("subject", "^[^:]*:(.*)$", 1), F.concat_ws("|", neg, F.col("relation")), *tail, F.date_format("date", "yyyyMMdd"), *ends)
