@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, text_batches, text_of
+from .common import map_batches, staged, text_batches, text_of
 
 CHUNK_CHARS, OVERLAP = 32_768, 1_024
 #: Pre-tokens whose ids a worker remembers; it then starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 30_000
 
 
 class Codec:
@@ -90,7 +90,7 @@ def _map_column(df: DataFrame, at: str, out: T.StructField, change) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], change(batch.column(len(names)))], [*names, out.name])
 
     text_batches(df.sparkSession)
-    return df.select(*names, at).mapInArrow(run, T.StructType([*keep, out]))
+    return map_batches(df.select(*names, at), run, T.StructType([*keep, out]))
 
 
 def _encoded(df: DataFrame, text_col: str, ids_col: str, path: str, pattern: str) -> DataFrame:
@@ -116,7 +116,7 @@ def _chunk_marks(chunks: DataFrame, path: str, pattern: str, chunk_chars: int, o
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(heads, kind), pa.array(tails, kind)], ["sha", "no", "head", "tail"])
 
-    return chunks.mapInArrow(run, "sha string, no int, head array<long>, tail array<long>")
+    return map_batches(chunks, run, "sha string, no int, head array<long>, tail array<long>")
 
 
 def _encode_long(texts: DataFrame, path: str, pattern: str, chunk_chars: int, overlap: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_batches
+from .common import map_batches, text_batches
 
 UND = "und"
 BITS, ORDERS = 16, (1, 2, 3)
@@ -144,4 +144,4 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_o
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score)], [*names, lang_out, score_out])
 
     text_batches(docs.sparkSession)
-    return docs.select(*names, docs[text_col].cast("string")).mapInArrow(run, schema)
+    return map_batches(docs.select(*names, docs[text_col].cast("string")), run, schema)

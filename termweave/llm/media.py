@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import text_batches
+from .common import map_batches, text_batches
 
 RATE, BLOCK = 8000, 64
 FRAME, HOP, PEAKS, FAN = 512, 256, 2, 2
@@ -91,7 +91,7 @@ def _mapped(df: DataFrame, schema: T.StructType, change) -> DataFrame:
             yield change(batch)
 
     text_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def wav_column(docs: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:

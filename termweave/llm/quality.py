@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_batches
+from .common import map_batches, text_batches
 
 #: Labelled documents that the classifier is fitted on, at most.
 MAX_FIT = 4_000
@@ -179,4 +179,4 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_ou
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(got, pa.float64())], [*names, score_out])
 
     text_batches(docs.sparkSession)
-    return docs.select(*names, docs[text_col].cast("string").alias("__text")).mapInArrow(run, schema)
+    return map_batches(docs.select(*names, docs[text_col].cast("string").alias("__text")), run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, text_batches
+from .common import map_batches, staged, text_batches
 
 SEED, BITS = 42, 64
 #: Fingerprints of a run that one task compares at once, and shingles whose bits are counted at once.
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4, out:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(got, pa.int64())], [*names, out])
 
     text_batches(docs.sparkSession)
-    return docs.select(*names, docs[text_col].cast("string").alias("__text")).mapInArrow(run, T.StructType([*keep, T.StructField(out, T.LongType())]))
+    return map_batches(docs.select(*names, docs[text_col].cast("string").alias("__text")), run, T.StructType([*keep, T.StructField(out, T.LongType())]))
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -198,8 +198,8 @@ def near_links(distinct: DataFrame, distance: int = 4, run: int = RUN) -> DataFr
 
     spark = distinct.sparkSession
     text_batches(spark, 10_000)
-    variants = distinct.select("fp").mapInArrow(index, "key long, fp long")
-    found = staged(variants.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: _runs(x, distance, run), "a long, b long, key long, n long"), "simhash-links")
+    variants = map_batches(distinct.select("fp"), index, "key long, fp long")
+    found = staged(map_batches(variants.repartition("key").sortWithinPartitions("key"), lambda x: _runs(x, distance, run), "a long, b long, key long, n long"), "simhash-links")
     links = found.filter("a is not null").select("a", "b")
     large = found.filter("a is null").select("key", "n")
     if large.limit(1).count() == 0:
