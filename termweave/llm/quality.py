@@ -33,6 +33,7 @@ from .common import map_batches, text_batches
 #: Labelled documents that the classifier is fitted on, at most.
 MAX_FIT = 4_000
 MAX_WORDS, DIM, NONZERO, WINDOW, HIDDEN = 20_000, 64, 6, 2, 24
+FAR = 4.0
 _word = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 SHAPES = ("lower", "upper", "title", "mixed", "digit", "mark")
 
@@ -77,6 +78,11 @@ def _pooled(table: np.ndarray, words: dict[str, int], found: list[str]) -> np.nd
     return np.append(k.astype(np.float32) @ table[at] / n, (np.log1p(n) / 10, len(at) / n, *again)).astype(np.float32)
 
 
+def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Within FAR deviations, so that what lies beyond the sample, as very long texts do, isn't extrapolated."""
+    return np.clip((x - mean) / scale, -FAR, FAR)
+
+
 def _forward(model_layers, x: np.ndarray) -> np.ndarray:
     w1, b1, w2, b2 = model_layers
     return np.tanh(x @ w1 + b1) @ w2 + b2
@@ -135,7 +141,7 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     x = np.array([_pooled(table, words, x) for x in found], dtype=np.float64)
     y = np.array(labels, dtype=np.float64)
     mean, scale = x.mean(0), x.std(0) + 1e-3
-    x = (x - mean) / scale
+    x = _standard(x, mean, scale)
     held = np.arange(len(y)) % 10 == 9
     if len(set(y[~held])) < 2:
         held[:] = False
@@ -150,7 +156,7 @@ def scores(model: Model | None, texts: list[str]) -> np.ndarray:
     if model.constant is not None:
         return np.full(len(texts), model.constant)
     x = np.array([_pooled(model.table, model.words, _word.findall(t)) for t in texts], dtype=np.float64).reshape(len(texts), len(model.mean))
-    return 1 / (1 + np.exp(-np.clip(_forward(model.layers, (x - model.mean) / model.scale) / model.temperature, -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(_forward(model.layers, _standard(x, model.mean, model.scale)) / model.temperature, -30, 30)))
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_fit: int = MAX_FIT) -> Model | None:
