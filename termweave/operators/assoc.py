@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import fisher
-from ..plans.lineage import cut
+from ..functions.lineage import cut
 from .ontology import Ontology
 
 THING = "owl:Thing"
@@ -164,6 +164,30 @@ class AssociationSet:
         """Counts by facets with their totals (ASC-21)."""
         return rows.rollup(*facets).agg(F.count("*").alias("n"))
 
+    def labelled(self, labels: DataFrame | None = None) -> DataFrame:
+        """assoc with subject_label and object_label, from the ontology first, then from labels (id, label) (ASC-10)."""
+        names = self.ontology.labels().filter("label is not null").withColumn("k", F.lit(0))
+        if labels is not None:
+            names = names.unionByName(labels.select("id", "label").withColumn("k", F.lit(1)))
+        one = names.groupBy("id").agg(F.min_by("label", "k").alias("label"))
+        out = self.assoc.join(one.toDF("subject", "subject_label"), "subject", "left").join(one.toDF("object", "object_label"), "object", "left")
+        return out.select("subject", "subject_label", "object", "object_label")
+
+    def between(self, subject: str | None = None, obj: str | None = None) -> DataFrame:
+        """Associations of a subject, an object, or both (ASC-05, ASC-12)."""
+        out = self.assoc if subject is None else self.assoc.filter(F.col("subject") == subject)
+        return out if obj is None else out.filter(F.col("object") == obj)
+
+    def inferred_types(self, subject: str, strict: bool = False) -> DataFrame:
+        """(term) of a subject; an unknown one has none, or with strict is an error (ASC-03)."""
+        if strict and not self.subjects.filter(F.col("subject") == subject).limit(1).count():
+            raise KeyError(subject)
+        return self.inferred.filter(F.col("subject") == subject).select("term")
+
+    def chain_annotations(self, seeds: Sequence[str], relations: Sequence[str]) -> DataFrame:
+        """(id, subject, object): what is said of the nodes that seeds reach by a chain of relations (ASC-23)."""
+        return self.ontology.chain(seeds, relations).join(self.assoc, F.col("sink") == F.col("subject")).select("id", "subject", "object")
+
     def used_ontology(self, minimal: bool = False) -> Ontology:
         """The part of the ontology that the inferred terms use (ASC-11)."""
         return self.ontology.subontology(self.inferred.select(F.col("term").alias("id")).distinct(), minimal)
@@ -204,5 +228,5 @@ def linkage(distances: DataFrame) -> DataFrame:
             live.remove(j)
         return pd.DataFrame(rows, columns=["step", "a", "b", "distance", "size"])
 
-    return distances.groupBy(F.lit(1)).applyInPandas(cluster, "step int, a string, b string, distance double, size int")
+    return distances.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(cluster, "step int, a string, b string, distance double, size int")
 

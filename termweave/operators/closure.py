@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..functions.lineage import cut
 
 
 def with_relations(edges: DataFrame, relations: Sequence[str] | None) -> DataFrame:

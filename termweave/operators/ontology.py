@@ -360,6 +360,30 @@ class Ontology:
         below = self.descendants(roots, [IS_A], True).select(F.col("desc").alias("sub")).distinct()
         return self.edges.filter(F.col("pred") == relation).join(below, "sub", "left_semi").groupBy(F.col("sub").alias("id")).agg(F.array_sort(F.collect_set("obj")).alias("targets"))
 
+    def clique_leaders(self, relation: str = "cliqueLeader") -> DataFrame:
+        """(id, leader): the node that stands for each node's clique, itself without one (ONT-41)."""
+        led = self.edges.filter(F.col("pred") == relation).groupBy(F.col("sub").alias("id")).agg(F.min("obj").alias("leader"))
+        return self.nodes.select("id").join(led, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
+
+    def bio_objects(self, taxon: str = "RO:0002162", disposition: str = "RO:0000091", inheritance: Sequence[str] = ()) -> DataFrame:
+        """(id, label, leader, taxon, inheritance, modifiers): dispositions that lie under an inheritance root are such, others modify (ONT-48)."""
+        taxa = self.edges.filter(F.col("pred") == taxon).groupBy(F.col("sub").alias("id")).agg(F.min("obj").alias("taxon"))
+        under = self.descendants(list(inheritance) or [""], reflexive=True).select(F.col("desc").alias("obj"), F.lit(True).alias("inherits")).distinct()
+        disp = self.edges.filter(F.col("pred") == disposition).join(under, "obj", "left").join(self.labels().toDF("obj", "l"), "obj", "left")
+        item = F.struct(F.col("obj").alias("id"), F.col("l").alias("label"))
+        lists = disp.groupBy(F.col("sub").alias("id")).agg(F.array_sort(F.collect_set(F.when(F.col("inherits"), item))).alias("inheritance"), F.array_sort(F.collect_set(F.when(F.col("inherits").isNull(), item))).alias("modifiers"))
+        return self.labels().join(self.clique_leaders(), "id").join(taxa, "id", "left").join(lists, "id", "left")
+
+    def regulation(self, regulators: Sequence[tuple[str, str]]) -> DataFrame:
+        """(id, bucket): that of the first root, by the order given, that a node lies under; none without (ONT-45)."""
+        found = self.aspect(regulators)
+        return self.nodes.select("id").join(found, "id", "left").select("id", F.coalesce("aspect", F.lit("none")).alias("bucket"))
+
+    def described(self, ids: Sequence[str] | DataFrame) -> DataFrame:
+        """Edges at either end of the nodes given (ONT-49)."""
+        keep = _ids(self.spark, ids)
+        return self.edges.join(keep.toDF("sub"), "sub", "left_semi").unionByName(self.edges.join(keep.toDF("obj"), "obj", "left_semi")).distinct()
+
     def compact(self) -> tuple[DataFrame, DataFrame]:
         """((id, n): numbers of nodes in order, (pred, n, parents): adjacency by relation) (SRC-30).
 

@@ -244,3 +244,37 @@ def evidence_table(triples: DataFrame, subject_p: str = "OBAN:association_has_su
     met = one(subject_p, "subject").join(one(predicate_p, "predicate"), "s").join(one(object_p, "object"), "s")
     met = met.join(one(eco_p, "eco"), "s", "left").join(one(source_p, "pub"), "s", "left")
     return met.groupBy("subject", "predicate", "object").agg(F.array_sort(F.collect_set("eco")).alias("evidence"), F.array_sort(F.collect_set("pub")).alias("publications"))
+
+
+def objects_of(docs: DataFrame, subjects: Sequence[str]) -> DataFrame:
+    """(subject, object) (GLR-18)."""
+    return docs.filter(_any("subject", subjects)).select("subject", "object").distinct()
+
+
+def homologs(docs: DataFrame, ids: Sequence[str], relations: Sequence[str] = ("RO:HOM0000017", "RO:HOM0000020", "RO:HOM0000011")) -> DataFrame:
+    """(id, other, relation, flipped) of homology relations, whichever side an id is on (GLR-18)."""
+    return either_side(docs.filter(_any("relation", relations)), ids)
+
+
+def top_species(docs: DataFrame, column: str = "subject_taxon") -> DataFrame:
+    """(value, n): species by their documents (GLR-20)."""
+    return distinct_values(docs.filter(F.col(column).isNotNull()), column)
+
+
+def bulk(docs: DataFrame, subject_category: str, object_category: str, taxon: str | None = None) -> DataFrame:
+    """Compact associations of two categories, of a taxon (GLR-21)."""
+    q = AssociationQuery(subject_category=subject_category, object_category=object_category, taxon=[taxon] if taxon else ())
+    return compact(q.run(docs))
+
+
+def merged_options(base: Mapping, change: Mapping) -> dict:
+    """Options with lists joined and other values replaced (GLR-33)."""
+    return {k: [*base[k], *v] if isinstance(v, list) and isinstance(base.get(k), list) else v for k, v in change.items()} | {k: v for k, v in base.items() if k not in change}
+
+
+def zipped(docs: DataFrame, keys: str, values: str, out: str) -> DataFrame:
+    """docs with a map of two parallel arrays; the last of equal keys holds (GLR-33, SCA-22)."""
+    pairs = F.arrays_zip(F.col(keys).alias("k"), F.col(values).alias("v"))
+    last = F.filter(F.transform(pairs, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), i.alias("i"))), lambda x: x["k"].isNotNull())
+    newest = F.filter(last, lambda x: ~F.exists(last, lambda y: (y["k"] == x["k"]) & (y["i"] > x["i"])))
+    return docs.withColumn(out, F.map_from_entries(F.transform(newest, lambda x: F.struct(x["k"], x["v"]))))

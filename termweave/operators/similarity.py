@@ -160,3 +160,35 @@ def patient_features(patients: DataFrame) -> DataFrame:
     lists = [clean(F.transform(seen, lambda f: f["id"])), clean(F.col("disorders.id")), clean(F.col("genomicFeatures.gene.id"))]
     pick = F.coalesce(*(F.when(F.size(x) > 0, x) for x in lists))
     return patients.select("id", pick.alias("terms"))
+
+
+def compare_profiles(profiles: DataFrame, reference: str, aset: AssociationSet) -> DataFrame:
+    """(x, y, score, rows, cols): the reference profile against all others of profiles (id, term), by best matches (SIM-11)."""
+    others = profiles.filter(F.col("id") != reference).select(F.lit(reference).alias("x"), F.col("id").alias("y")).distinct()
+    cells = term_pairs(profiles.select("id", "term").distinct(), others)
+    best = mica(cells, aset.ontology.reflexive_closure(aset.relations), information_content(aset)).select("a", "b", "ic")
+    return resnik_bma(cells.join(best, ["a", "b"]))
+
+
+def match_triples(best: DataFrame) -> DataFrame:
+    """(a, b, lcs): each pair with each of its most informative common ancestors (SIM-17)."""
+    return best.select("a", "b", F.explode("terms").alias("lcs"))
+
+
+def clean_types(types: DataFrame, noise: Sequence[str] = ("Class", "Node", "cliqueLeader", "NamedIndividual")) -> DataFrame:
+    """(id, types): lower-case type names without those that say nothing (SIM-19)."""
+    kept = types.filter(~F.col("type").isin(*noise))
+    return kept.groupBy("id").agg(F.array_sort(F.collect_set(F.lower("type"))).alias("types"))
+
+
+def categorical_sufficiency(profiles: DataFrame, ic: DataFrame, categories: DataFrame, statistics: DataFrame) -> DataFrame:
+    """(id, categorical): the mean over categories of how well profiles are described in each (SIM-14).
+
+    categories: category, term (all at or below it); statistics: category, mean_ic, max_ic, sum_ic of the background.
+    """
+    rated = profiles.select("id", "term").distinct().join(ic.select("term", "ic"), "term").join(categories, "term")
+    per = rated.groupBy("id", "category").agg(F.avg("ic").alias("m"), F.max("ic").alias("x"), F.sum("ic").alias("s"))
+    dense = profiles.select("id").distinct().crossJoin(F.broadcast(statistics))  # every profile has every category: a fixed, small list
+    met = dense.join(per, ["id", "category"], "left").na.fill(0.0, ["m", "x", "s"])
+    cap = lambda v, bg: F.least(F.col(v) / F.col(bg), F.lit(1.0))
+    return met.groupBy("id").agg(F.avg((cap("m", "mean_ic") + cap("x", "max_ic") + cap("s", "sum_ic")) / 3).alias("categorical"))

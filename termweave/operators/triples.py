@@ -167,3 +167,37 @@ def ntriples(triples: DataFrame, prefixes: Mapping[str, str], graph: str | None
     quoted = F.concat(F.lit('"'), F.replace(F.replace(F.replace("o", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
     obj = F.when(F.rlike("o", F.lit(r"^[^\s:]*:\S+$")), node("o")).otherwise(quoted)
     return triples.select(F.concat_ws(" ", node("s"), node("p"), obj, *([F.lit(f"<{graph}>")] if graph else []), F.lit(".")).alias("value"))
+
+
+def gene_models(rows: DataFrame, parents: DataFrame) -> DataFrame:
+    """(graph, s, p, o): activity-style triples, one graph for each gene and its products (RDF-07, RDF-08).
+
+    Nodes are named after the gene, so models of genes are disjoint; all genes are made in one plan.
+    """
+    keyed = by_gene(rows, parents)
+    own = {r: F.concat_ws("|", F.col("gene"), F.col(r)) for r in ("subject",)}
+    made = activity_models(keyed.withColumn("__subject", F.col("subject")).withColumn("subject", own["subject"]))
+    graph = F.when(F.contains("o", F.lit("|")), F.substring_index("o", "|", 1))
+    named = made.withColumn("graph", graph).withColumn("o", F.when(graph.isNotNull(), F.regexp_extract("o", r"\|(.*)$", 1)).otherwise(F.col("o")))
+    products = named.filter("graph is not null").select("graph", F.col("s").alias("g"))
+    owner = products.union(made.join(products, made.o == products.g).select("graph", F.col("s").alias("g"))).distinct()
+    owner = owner.union(made.filter("not o like '%|%'").join(owner.toDF("graph", "n"), F.col("s") == F.col("n")).filter("o like '\\_:%'").select("graph", F.col("o").alias("g"))).distinct()
+    return named.drop("graph").join(owner, F.col("s") == F.col("g")).select("graph", "s", "p", "o").distinct()
+
+
+def grouped_values(triples: DataFrame, predicates: Sequence[str], separator: str = "|") -> DataFrame:
+    """s and a column for each predicate with its values joined in order, blank without any (RDF-14, RDF-15)."""
+    wide = triples.filter(F.col("p").isin(*predicates)).groupBy("s").pivot("p", list(predicates)).agg(F.array_join(F.array_sort(F.collect_set("o")), separator))
+    return wide.na.fill("", list(predicates))
+
+
+def run_sql(triples: DataFrame, body: str) -> DataFrame:
+    """A SQL query over the view ``triples`` (s, p, o) (RDF-17)."""
+    triples.createOrReplaceTempView("triples")
+    return triples.sparkSession.sql(body)
+
+
+def mapped_ids(triples: DataFrame, source: str, target: str) -> DataFrame:
+    """(source, target): ids that a node has by two properties (RDF-18)."""
+    a = triples.filter(F.col("p") == source).select("s", F.col("o").alias("source"))
+    return a.join(triples.filter(F.col("p") == target).select("s", F.col("o").alias("target")), "s").select("source", "target").distinct()

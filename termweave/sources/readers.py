@@ -222,7 +222,7 @@ def metadata(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A YAML list of records, read as text by Spark and parsed on the driver: lookup files of a few hundred entries (SRC-23)."""
     import yaml
 
-    content = spark.read.option("wholetext", True).text(path).collect()
+    content = spark.read.text(path, wholetext=True).collect()
     rows = [r for x in content for r in (yaml.safe_load(x.value) or [])]
     names = spark.createDataFrame([], schema).columns
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
