@@ -39,18 +39,21 @@ def cid(prefix: str, col: str | Column) -> Column:
 
 
 def product_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of parts are unique by key; those of brands, types and sizes come from their distinct combinations."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    e = lambda df, s, p, o: df.select(s.alias("sub"), F.lit(p).alias("pred"), o.alias("obj")).distinct()
+
+    def edges(df: DataFrame, *links: tuple[Column, str, Column]) -> DataFrame:
+        made = F.array(*(F.struct(s.alias("sub"), F.lit(p).alias("pred"), o.alias("obj")) for s, p, o in links))
+        return df.select(F.explode(made).alias("e")).select("e.*")
+
     me, brand, kind, size, band = cid("PART", "p_partkey"), cid("BRAND", "p_brand"), cid("TYPE", "p_type"), cid("SIZE", "p_size"), cid("SBAND", F.expr("p_size div 10"))
     thing = F.lit("THING:0")
-    links = [(me, IS_A, brand), (me, IS_A, kind), (me, PART_OF, size), (size, IS_A, band), (brand, IS_A, thing), (kind, IS_A, thing), (band, IS_A, thing)]
-    out = e(part, *links[0])
-    for s, p, o in links[1:]:
-        out = out.unionAll(e(part, s, p, o))
-    c, s, n = (table(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
-    out = out.unionAll(e(c, cid("CUST", "c_custkey"), PART_OF, cid("NATION", "c_nationkey"))).unionAll(e(s, cid("SUPP", "s_suppkey"), PART_OF, cid("NATION", "s_nationkey")))
-    out = out.unionAll(e(n, cid("NATION", "n_nationkey"), IS_A, cid("REGION", "n_regionkey")))
-    return out.unionAll(e(table(spark, sf_dir, "region"), cid("REGION", "r_regionkey"), IS_A, F.lit("WORLD:0")))
+    groups = part.select("p_brand", "p_type", "p_size").distinct()
+    out = edges(part, (me, IS_A, brand), (me, IS_A, kind), (me, PART_OF, size))
+    out = out.unionAll(edges(groups, (size, IS_A, band), (brand, IS_A, thing), (kind, IS_A, thing), (band, IS_A, thing)).distinct())
+    c, s, n, r = (table(spark, sf_dir, t) for t in ("customer", "supplier", "nation", "region"))
+    out = out.unionAll(edges(c, (cid("CUST", "c_custkey"), PART_OF, cid("NATION", "c_nationkey")))).unionAll(edges(s, (cid("SUPP", "s_suppkey"), PART_OF, cid("NATION", "s_nationkey"))))
+    return out.unionAll(edges(n, (cid("NATION", "n_nationkey"), IS_A, cid("REGION", "n_regionkey")))).unionAll(edges(r, (cid("REGION", "r_regionkey"), IS_A, F.lit("WORLD:0"))))
 
 
 def product(spark: SparkSession, sf_dir: str) -> Ontology:
