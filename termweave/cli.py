@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import lexmap, parse
+from .operators import lexmap, parse, search
 from .operators.assoc import AssociationSet, of_associations
 from .operators.ontology import expand_labels
 from .operators.validate import ParserConfig, validate
@@ -55,7 +55,7 @@ def assoc(spark: SparkSession, args) -> None:
 
 
 def convert(spark: SparkSession, args) -> None:
-    """An association file in another format."""
+    """An association file in another format (PRS-34)."""
     rows = readers.associations(spark, args.file).filter("problem is null")
     _show(writers.registry()[args.to](rows), args)
 
@@ -79,6 +79,12 @@ def expand(spark: SparkSession, args) -> None:
     _show(expand_labels(readers.tab_separated(spark, args.file), args.columns, readers.ontology(spark, args.ontology).labels()), args)
 
 
+def facets(spark: SparkSession, args) -> None:
+    """Counts of the columns of a Parquet table of association documents, or a pivot of two (GLR-35, GLR-36)."""
+    docs = spark.read.parquet(args.file)
+    _show(search.pivot_facet(docs, *args.columns) if args.pivot else search.facets(docs, args.columns), args)
+
+
 def skim(spark: SparkSession, args) -> None:
     """(subject, label, term) of a GAF file."""
     lines = spark.read.text(args.file)
@@ -104,6 +110,7 @@ def parser() -> argparse.ArgumentParser:
     add(check, file, onto, (("--kind",), {"default": "gaf"}), (("--as-of",), {"default": "2024-01-01"}))
     add(mapping, onto)
     add(expand, file, onto, (("-c", "--columns"), {"nargs": "+", "required": True}))
+    add(facets, file, (("-c", "--columns"), {"nargs": "+", "required": True}), (("--pivot",), {"action": "store_true"}))
     add(skim, file)
     return top
 

@@ -91,7 +91,7 @@ class AssociationSet:
         return self.inferred.groupBy("subject").pivot("term", list(terms)).agg(F.lit(1)).na.fill(0, list(terms))
 
     def jaccard(self, pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) of subjects with j, 0 if neither has a term (ASC-14)."""
+        """pairs (a, b) of subjects with j, 0 if neither has a term (ASC-14, SIM-01, GLR-26)."""
         n = self.inferred.groupBy("subject").agg(F.count("*").alias("n"))
         mine = pairs.select("a", "b").distinct()
         c = mine.join(self.inferred.toDF("a", "term"), "a").join(self.inferred.toDF("b", "term"), ["b", "term"]).groupBy("a", "b").agg(F.count("*").alias("c"))
@@ -137,6 +137,10 @@ class AssociationSet:
         out = out.withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p") * m))
         return out.filter(F.col("p_adjusted") < threshold).orderBy("p", "term")
 
+    def closure_enrichment(self, sample: Sequence[str] | DataFrame, least: int = 2, threshold: float = 0.05) -> DataFrame:
+        """Two-sided enrichment of terms that at least ``least`` subjects of the sample have (GLR-24)."""
+        return self.enrichment(sample, threshold=threshold, side="two-sided").filter(F.col("sample_count") >= least)
+
     def phenolog(self, other: AssociationSet, least: int = 3, threshold: float = 0.05) -> DataFrame:
         """(class1, class2, c, n1, n2, p): pairs of classes of two sets whose subjects overlap more than chance (ASC-16)."""
         common = self.subjects.join(other.subjects, "subject", "left_semi")

@@ -41,7 +41,10 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 
 
 def walk(edges: DataFrame, seeds: DataFrame, up: bool = True, depth: int | None = None, relations: Sequence[str] | None = None) -> DataFrame:
-    """(seed, id, depth): what seeds (id) reach within ``depth`` steps, with the least distance; the seed itself at 0."""
+    """(seed, id, depth): what seeds (id) reach within ``depth`` steps, with the least distance; the seed itself at 0 (SRC-13).
+
+    Relations are filtered before walking, which equals walking inside the ancestors over all relations (ONT-35).
+    """
     e = with_relations(edges, relations).filter("sub <> obj")
     step = e.select(F.col("sub" if up else "obj").alias("at"), F.col("obj" if up else "sub").alias("to")).distinct()
     now = cut(seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("depth", F.lit(0)))

@@ -111,7 +111,7 @@ class Ontology:
         return found.filtered(relations) if relations else found
 
     def traverse(self, ids: Sequence[str] | DataFrame, up: bool = True, down: bool = False, relations: Sequence[str] | None = None) -> DataFrame:
-        """(id): the seeds and what they reach (ONT-17)."""
+        """(id): the seeds and what they reach; up and down from one class is its hub (ONT-17, SRC-14)."""
         seeds, closed = _ids(self.spark, ids), self.closure(relations)
         found = seeds
         if up:
@@ -149,6 +149,7 @@ class Ontology:
         return self.edges.groupBy("sub", "obj").agg(F.array_sort(F.collect_set("pred")).alias("preds"))
 
     def relations_used(self) -> DataFrame:
+        """(pred) (ONT-10)."""
         return self.edges.select("pred").distinct()
 
     def prefixes(self) -> DataFrame:
@@ -290,7 +291,29 @@ class Ontology:
             out = out.unionAll(names.filter(test).select(F.lit(t).alias("term"), "id").distinct())
         return out
 
-    # --- changes
+    def logical_definitions(self, ids: Sequence[str] | DataFrame) -> DataFrame:
+        """(id, genus, restrictions) of the classes given (ONT-24)."""
+        return self.logical_defs.join(_ids(self.spark, ids), "id", "left_semi")
+
+    def chains_of(self, preds: Sequence[str]) -> DataFrame:
+        """(pred, chain) of the relations given; chains keep their order (ONT-24)."""
+        return self.property_chains.filter(F.col("pred").isin(*preds))
+
+    def text_definitions(self, ids: Sequence[str] | DataFrame | None = None) -> DataFrame:
+        """(id, val, xrefs) (ONT-23)."""
+        return self.definitions if ids is None else self.definitions.join(_ids(self.spark, ids), "id", "left_semi")
+
+    def leaves(self, relations: Sequence[str] | None = None) -> DataFrame:
+        """(id): nodes with a parent and without a child (ONT-39)."""
+        e = C.with_relations(self.edges, relations)
+        return e.select(F.col("sub").alias("id")).distinct().join(e.select(F.col("obj").alias("id")), "id", "left_anti")
+
+    def has_nodes(self, ids: Sequence[str] | DataFrame) -> DataFrame:
+        """(id, known, label, type): whether ids are nodes, and what they are called (ONT-09)."""
+        n = self.nodes.select("id", "label", "type", F.lit(True).alias("known"))
+        return _ids(self.spark, ids).join(n, "id", "left").select("id", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("label", "id").alias("label"), "type")
+
+    # --- changes: each gives a new ontology (ONT-29)
 
     def _plus(self, **rows: Sequence[tuple]) -> Ontology:
         return replace(self, **{k: getattr(self, k).unionByName(self.spark.createDataFrame(list(v), SCHEMAS[k]), allowMissingColumns=True) for k, v in rows.items()})

@@ -89,10 +89,17 @@ def qualifier_problem(cell: Column, version: str) -> Column:
 
 
 def cardinality_problem(cell: Column, least: int, most: int | None = None) -> Column:
+    """Too few or too many items in a | list (PRS-09)."""
     n = F.size(F.filter(F.split(F.coalesce(cell, F.lit("")), r"\|"), lambda x: x != ""))
     return F.when(n < least, "too few items").when(n > most if most is not None else F.lit(False), "too many items")
 
 
+def identifier_list(cell: Column) -> Column:
+    """The ids of a | list in order, or null if one isn't valid (PRS-22)."""
+    ids = F.array_sort(F.filter(F.transform(F.split(cell, r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.when(F.forall(ids, lambda x: text.identifier_problem(x).isNull()), ids)
+
+
 def evidence_classes(rows: DataFrame, codes: DataFrame, reference: str = "reference") -> DataFrame:
     """rows with eco: the class of code and reference, else the code's default (PRS-14). codes: code, ref (null: default), cls."""
     exact = F.broadcast(codes.filter("ref is not null").select(F.col("code").alias("__c1"), F.col("ref").alias("__r1"), F.col("cls").alias("__e1")).dropDuplicates(["__c1", "__r1"]))

@@ -37,6 +37,8 @@ NOT_MANUAL, NOT_ANNOTATE, CANDIDATE = "gocheck_do_not_manually_annotate", "goche
 
 @dataclass(frozen=True)
 class Rule:
+    """A rule as data: others may be added to the list that ``run`` gets; none needs a Python function over rows (UDF-01)."""
+
     id: int
     title: str
     mode: str

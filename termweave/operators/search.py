@@ -31,7 +31,7 @@ def _overlaps(column: str, values: Sequence[str]) -> Column:
 
 @dataclass
 class AssociationQuery:
-    """Options of a search. Lists are alternatives; a leading - of an evidence negates it (GLR-01)."""
+    """Options of a search. Lists are alternatives; a leading - of an evidence negates it (GLR-01). non_null fields must be there (GLR-12)."""
 
     subjects: Sequence[str] = ()
     objects: Sequence[str] = ()
@@ -95,6 +95,15 @@ def inverted(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.col(swap.get(c, c)).alias(c) for c in docs.columns))
 
 
+#: The fields that a search returns by default, where documents have them.
+DEFAULT_FIELDS = ("id", "subject", "subject_label", "subject_category", "subject_taxon", "relation", "object", "object_label", "object_category", "evidence", "source", "is_defined_by", "qualifier")
+
+
+def projected(docs: DataFrame, fields: Sequence[str] = DEFAULT_FIELDS, more: Sequence[str] = ()) -> DataFrame:
+    """docs with the fields asked for that there are (GLR-05)."""
+    return docs.select(*(c for c in (*fields, *more) if c in docs.columns))
+
+
 def renamed(docs: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return docs.withColumnsRenamed({k: v for k, v in names.items() if k in docs.columns})
 
@@ -121,6 +130,7 @@ def pivot_facet(docs: DataFrame, a: str, b: str, least: int = 1) -> DataFrame:
 
 
 def pivot_matrix(docs: DataFrame, a: str, b: str, values: Sequence[str]) -> DataFrame:
+    """a and a column of counts for each value of b (GLR-08)."""
     return docs.groupBy(a).pivot(b, list(values)).agg(F.count("*")).na.fill(0)
 
 
@@ -214,6 +224,15 @@ def text_search(docs: DataFrame, query: str, weights: Mapping[str, float], prefi
     return found.orderBy(F.desc("score"), "id").limit(limit)
 
 
+#: What fields weigh in a search for everyday words.
+EVERYDAY_WEIGHTS = {"label": 5.0, "everyday_synonym": 2.0, "description": 1.0, "synonym": 3.0}
+
+
+def everyday_search(docs: DataFrame, query: str, limit: int = 100) -> DataFrame:
+    """text_search over the fields that docs have, everyday synonyms among them (GLR-32)."""
+    return text_search(docs, query, {k: v for k, v in EVERYDAY_WEIGHTS.items() if k in docs.columns}, limit=limit)
+
+
 def autocomplete(docs: DataFrame, typed: str, column: str = "label", limit: int = 20) -> DataFrame:
     """(id, value): values with a word that begins with what is typed, whole values first (GLR-30)."""
     v = F.lower(F.col(column))

@@ -306,6 +306,34 @@ def sim_sufficiency(spark, d):
     return S.sufficiency(prof, S.information_content(s), 10.0, 12.0, 400.0).withColumn("simple", _r("simple"))
 
 
+@query(f"""{SUP}, t AS (SELECT count(DISTINCT subject) AS n FROM a2), icc AS (SELECT term, log2(any_value(t.n) / count(*)) AS ic FROM i2 CROSS JOIN t GROUP BY term), tot AS (SELECT subject, sum(ic) AS s FROM i2 JOIN icc USING (term) GROUP BY subject),
+  pr AS (SELECT 'SUPP:' || s_suppkey AS a, 'SUPP:' || (s_suppkey + 1) AS b FROM supplier), cc AS (SELECT a, b, sum(ic) AS c FROM pr JOIN i2 x ON x.subject = a JOIN i2 y ON y.subject = b AND x.term = y.term JOIN icc ON icc.term = x.term GROUP BY ALL)
+  SELECT a, b, round(coalesce(c, 0) / (x.s + y.s - coalesce(c, 0)), 8)::DOUBLE AS sim_gic FROM pr LEFT JOIN cc USING (a, b) JOIN tot x ON x.subject = a JOIN tot y ON y.subject = b""")
+def sim_gic(spark, d):
+    s = suppliers(spark, d)
+    pairs = table(spark, d, "supplier").select(cid("SUPP", "s_suppkey").alias("a"), cid("SUPP", F.col("s_suppkey") + 1).alias("b"))
+    return S.sim_gic(s, pairs, S.information_content(s)).withColumn("sim_gic", _r("sim_gic"))
+
+
+@query(f"{SUP}, n AS (SELECT term, count(*) AS n FROM i2 GROUP BY term) SELECT term, round(log2((SELECT max(n) FROM n) / n), 8)::DOUBLE AS ic FROM n")
+def facet_content(spark, d):
+    return S.facet_content(suppliers(spark, d).term_counts).withColumn("ic", _r("ic"))
+
+
+@query("SELECT 'SUPP:' || l_suppkey AS subject, count(DISTINCT l_orderkey)::BIGINT AS n FROM lineitem GROUP BY ALL")
+def publications_per_subject(spark, d):
+    rows = table(spark, d, "lineitem").select(cid("SUPP", "l_suppkey").alias("subject"), cid("PMID", "l_orderkey").alias("reference"))
+    return A.publications_per_subject(rows)
+
+
+@query("SELECT event_id AS id, event_type AS relation, (props->>'k')::BIGINT AS k FROM events")
+def json_properties(spark, d):
+    e = table(spark, d, "events")
+    made = e.select(cid("E", "event_id").alias("id"), cid("U", "user_id").alias("subject"), F.col("event_type").alias("relation"), F.lit("x").alias("object"), F.col("props").alias("evidence_map"))
+    found = G.nested(made)
+    return found.select(F.regexp_extract("id", "E:(.*)", 1).cast("long").alias("id"), "relation", F.element_at("evidence_labels", "k").cast("long").alias("k"))
+
+
 # --- triples
 
 TRIPLES = "t AS (SELECT 'SUPP:' || l_suppkey AS s, 'supplies' AS p, 'PART:' || l_partkey AS o FROM lineitem UNION SELECT 'SUPP:' || s_suppkey, 'in', 'NATION:' || s_nationkey FROM supplier UNION SELECT 'PART:' || p_partkey, 'type', 'TYPE:' || p_type FROM part)"
@@ -337,3 +365,15 @@ def collapse_annotations(spark, d):
     rows = table(spark, d, "lineitem").select(cid("SUPP", "l_suppkey").alias("subject"), cid("PART", "l_partkey").alias("object"), (F.col("l_returnflag") == "R").alias("negated"), none.alias("qualifiers"), none.alias("extensions"), none.alias("with_from"), F.col("l_linestatus").alias("evidence"), cid("PMID", "l_orderkey").alias("reference"), F.lit("20200101").alias("date"))
     lines = F.array_join(F.array_sort(F.transform("lines", lambda x: F.concat_ws("/", x["reference"], x["evidence"]))), "|")
     return R.collapsed(rows).select("subject", "object", "negated", lines.alias("lines"), "n")
+
+
+@query(f"WITH {TRIPLES} SELECT '<http://e/' || replace(s, ':', '/') || '> <http://e/' || p || '> <http://e/' || replace(o, ':', '/') || '> .' AS value FROM t")
+def triples_lines(spark, d):
+    slash = lambda c: F.concat(F.lit("E:"), F.replace(F.col(c), F.lit(":"), F.lit("/"))).alias(c)
+    named = _triples(spark, d).select(slash("s"), F.concat(F.lit("E:"), "p").alias("p"), slash("o"))
+    return R.ntriples(named, {"E": "http://e/"})
+
+
+@query(f"WITH {TRIPLES} SELECT s, coalesce(string_agg(o, '|' ORDER BY o) FILTER (WHERE p = 'in'), '') AS \"in\", coalesce(string_agg(o, '|' ORDER BY o) FILTER (WHERE p = 'type'), '') AS type FROM t WHERE p IN ('in', 'type') GROUP BY s")
+def triples_grouped(spark, d):
+    return R.grouped_values(_triples(spark, d), ["in", "type"])

@@ -161,6 +161,13 @@ def gaf_round_trip(spark, d):
     return rows.select("row_id", W.gaf_value(rows.columns, "2.2").alias("value"))
 
 
+@query(f"""WITH {LINES} SELECT row_id, concat_ws(chr(9), 'SUPP:' || l_suppkey, CASE WHEN qualifier LIKE 'NOT%' THEN 'NOT' ELSE '' END, CASE WHEN qualifier = '' THEN CASE aspect WHEN 'P' THEN 'involved_in' WHEN 'F' THEN 'enables' ELSE 'located_in' END ELSE replace(qualifier, 'NOT|', '') END,
+  term, reference, evidence, CASE WHEN has_with THEN 'PART:' || l_partkey || '|SUPP:' || l_suppkey || ',X:1' ELSE '' END, '', strftime(date, '%Y-%m-%d'), 'TST', 'part_of(CL:1)|occurs_in(CL:2),part_of(CL:3)', '') AS value FROM lines WHERE NOT bad_taxon""")
+def gpad_lines(spark, d):
+    rows = _annotations(spark, d).filter("problem is null")
+    return rows.select("row_id", W.gpad_value(rows.columns, "2.0").alias("value"))
+
+
 # --- differences between the lines of two states
 
 DIFF = "a1 AS (SELECT l_suppkey AS subject, l_partkey AS object, l_returnflag AS evidence FROM lineitem WHERE l_linestatus = 'F'), a2 AS (SELECT l_suppkey AS subject, l_partkey AS object, l_returnflag AS evidence FROM lineitem WHERE l_linestatus = 'O')"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import closure as C
 from ..operators import ontology as O
+from ..sources import readers
 from .derived import CLOSURE, DEEP, EDGES, ISA_CLOSURE, REFLEXIVE, cid, deep, product, sql, suppliers, table
 from .registry import query
 
@@ -214,3 +215,14 @@ def ont_has_part_inferences(spark, d):
 @query(f"""{E} SELECT id, (row_number() OVER (ORDER BY id) - 1)::BIGINT AS n FROM nodes""")
 def graph_compact_ids(spark, d):
     return product(spark, d).compact()[0].select("id", F.col("n").cast("long").alias("n"))
+
+
+@query(f"{E} SELECT DISTINCT sub AS id FROM e WHERE sub NOT IN (SELECT obj FROM e)")
+def ont_leaves(spark, d):
+    return product(spark, d).leaves()
+
+
+@query("""SELECT DISTINCT trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'gs'), '\\s+', ' ', 'g')) AS label FROM (SELECT unnest(regexp_extract_all(html, '(?is)<(?:li|h[1-6]|a)\\b[^>]*>(.*?)</(?:li|h[1-6]|a)>')) AS x FROM pages)
+  WHERE trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'gs'), '\\s+', ' ', 'g')) <> ''""")
+def scraped_names(spark, d):
+    return readers.scraped_names(table(spark, d, "pages")).select("label").distinct()

@@ -1,4 +1,8 @@
-"""Readers: ontologies, association and entity files, lookup tables (SRC-01 to SRC-31). Paths are anything Spark reads, .gz too."""
+"""Readers: ontologies, association and entity files, lookup tables (SRC-01 to SRC-31).
+
+Paths are anything Spark reads, .gz too (SRC-20). Association documents are Parquet tables (SRC-28); file comparison takes the
+frames of ``associations`` (SRC-29).
+"""
 
 from __future__ import annotations
 

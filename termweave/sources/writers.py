@@ -53,18 +53,23 @@ def gaf(rows: DataFrame, version: str = "2.2") -> DataFrame:
     return rows.select(gaf_value(rows.columns, version).alias("value"))
 
 
-def gpad(rows: DataFrame, version: str = "2.0") -> DataFrame:
-    """Annotations as GPAD lines: 1.2 has labels of qualifiers, 2.0 relations, ISO dates and the isoform as subject (SNK-02)."""
+def gpad_value(columns: Sequence[str], version: str = "2.0") -> Column:
+    """A GPAD line of the columns of an annotation."""
     taxon = F.regexp_replace(_s(F.get("taxa", F.lit(1))), "^[^:]*:", "taxon:" if version == "1.2" else "NCBITaxon:")
     tail = (_s("term"), F.array_join("references", "|"), _s("evidence"), text.conjunctions_text(F.col("with_from")), taxon)
-    ends = (_s("assigned_by"), _extensions(), _s("properties") if dict(rows.dtypes).get("properties") == "string" else F.lit(""))
+    ends = (_s("assigned_by"), _extensions(), _have(columns, "properties"))
     if version == "1.2":
         neg = F.when(F.col("negated"), F.lit("NOT"))
         cols = (F.substring_index("subject", ":", 1), F.regexp_extract("subject", "^[^:]*:(.*)$", 1), F.concat_ws("|", neg, F.col("relation")), *tail, F.date_format("date", "yyyyMMdd"), *ends)
     else:
-        subject = F.coalesce(F.nullif(F.col("isoform"), F.lit("")), F.col("subject")) if "isoform" in rows.columns else F.col("subject")
+        subject = F.coalesce(F.nullif(F.col("isoform"), F.lit("")), F.col("subject")) if "isoform" in columns else F.col("subject")
         cols = (subject, F.when(F.col("negated"), "NOT").otherwise(""), _s("relation"), *tail, F.date_format("date", "yyyy-MM-dd"), *ends)
-    return rows.select(F.concat_ws("\t", *map(_s, cols)).alias("value"))
+    return F.concat_ws("\t", *map(_s, cols))
+
+
+def gpad(rows: DataFrame, version: str = "2.0") -> DataFrame:
+    """Annotations as GPAD lines: 1.2 has labels of qualifiers, 2.0 relations, ISO dates and the isoform as subject (SNK-02). properties is text."""
+    return rows.select(gpad_value(rows.columns, version).alias("value"))
 
 
 def gpi(rows: DataFrame, version: str = "2.0") -> DataFrame:
