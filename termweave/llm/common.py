@@ -7,7 +7,9 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +24,19 @@ TEXT_ROWS = 256
 _made: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's sources to the Python workers, once for a context: executors needn't have it installed."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(context, "_termweave_shipped", False) or not package.is_dir():
+        return
+    made = Path(tempfile.mkdtemp(prefix="termweave-")).resolve() / "termweave_sources.zip"
+    with zipfile.ZipFile(made, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(made))
+    context._termweave_shipped = True
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir. Only a local[...] session may lack it: then a temporary folder is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,6 +51,7 @@ def scratch(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the scratch folder; removed when the driver's process ends in the ordinary way."""
+    ship(spark)
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_remove)
@@ -75,6 +91,7 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
         with contextlib.suppress(OSError, AttributeError):  # other C libraries don't have it
             ctypes.CDLL(None).malloc_trim(0)
 
+    ship(df.sparkSession)
     return df.mapInArrow(whole, schema)
 
 
