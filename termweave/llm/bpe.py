@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, staged, text_batches, text_of
+from .common import map_batches, text_batches, text_of
 
 CHUNK_CHARS, OVERLAP = 32_768, 1_024
 #: Pre-tokens whose ids a worker remembers; it then starts afresh.
