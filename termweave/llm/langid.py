@@ -45,8 +45,8 @@ class Model:
     orders: tuple[int, ...] = ORDERS
 
 
-def _buckets(codes: np.ndarray, owner: np.ndarray, bits: int, orders: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, owner) of every n-gram that lies in one text."""
+def _buckets(codes: np.ndarray, owner: np.ndarray, bits: int, orders: tuple[int, ...], lead: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, owner) of every n-gram that lies in one text and not in its first ``lead`` code points, which an earlier piece had."""
     h = np.zeros(len(codes), dtype=np.uint64)
     for n in range(1, max(orders) + 1):
         m = len(codes) - n + 1
@@ -57,44 +57,55 @@ def _buckets(codes: np.ndarray, owner: np.ndarray, bits: int, orders: tuple[int,
         if n in orders:
             at = ((h * _MULT) >> np.uint64(64 - bits)).astype(np.int64)
             own = owner[:m]
+            if lead >= n:
+                at, own = at[lead - n + 1 :], own[lead - n + 1 :]
             if n > 1:
-                inside = own == owner[n - 1 :]
+                inside = own == owner[n - 1 + len(owner[:m]) - len(own) :]
                 at, own = at[inside], own[inside]
             yield at, own
 
 
-def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Code points and the text each belongs to, about PIECE at a time; n-grams across the pieces of a long text are kept by an overlap."""
-    codes, owner, held = [], [], 0
+def _pieces(texts: list[str], context: int, size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Code points, the text each belongs to, and how many of the first were in the piece before: about PIECE at a time.
+
+    A long text goes over several pieces, each led by the ``context`` code points before it, so no n-gram is lost.
+    """
+    size = size or PIECE
+    codes, owner, held, lead = [], [], 0, 0
     for i, text in enumerate(texts):
-        c = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-        codes.append(c)
-        owner.append(np.full(len(c), i, dtype=np.int64))
-        held += len(c)
-        if held >= PIECE:
-            yield np.concatenate(codes), np.concatenate(owner)
-            codes, owner, held = [], [], 0
+        text = text.lower()
+        for at in range(0, len(text), size):
+            if at:
+                yield np.concatenate(codes), np.concatenate(owner), lead
+                codes, owner, held, lead = [], [], 0, min(at, context)
+            c = np.frombuffer(text[at - (lead if at else 0) : at + size].encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+            codes.append(c)
+            owner.append(np.full(len(c), i, dtype=np.int64))
+            held += len(c)
+        if held >= size:
+            yield np.concatenate(codes), np.concatenate(owner), lead
+            codes, owner, held, lead = [], [], 0, 0
     if held:
-        yield np.concatenate(codes), np.concatenate(owner)
+        yield np.concatenate(codes), np.concatenate(owner), lead
 
 
 def fit(texts: list[str], langs: list[str], bits: int = BITS, orders: tuple[int, ...] = ORDERS, smooth: float = 0.5) -> Model:
     names = sorted(set(langs))
     at = np.array([names.index(x) for x in langs], dtype=np.int64)
     counts = np.zeros((len(names), 1 << bits))
-    for codes, owner in _pieces(texts):
-        for bucket, own in _buckets(codes, owner, bits, orders):
+    for codes, owner, lead in _pieces(texts, max(orders) - 1):
+        for bucket, own in _buckets(codes, owner, bits, orders, lead):
             np.add.at(counts.reshape(-1), at[own] * (1 << bits) + bucket, 1)
     logp = np.log(counts + smooth) - np.log(counts.sum(axis=1, keepdims=True) + smooth * (1 << bits))
     prior = np.log(np.bincount(at, minlength=len(names)) / max(1, len(at)))
     return Model(names, np.ascontiguousarray(logp.T), prior, bits, orders)
 
 
-def log_likelihoods(model: Model, texts: list[str]) -> np.ndarray:
+def log_likelihoods(model: Model, texts: list[str], piece: int | None = None) -> np.ndarray:
     """Texts by languages, prior included."""
     out = np.tile(model.prior, (len(texts), 1))
-    for codes, owner in _pieces(texts):
-        for bucket, own in _buckets(codes, owner, model.bits, model.orders):
+    for codes, owner, lead in _pieces(texts, max(model.orders) - 1, piece):
+        for bucket, own in _buckets(codes, owner, model.bits, model.orders, lead):
             if not len(own):
                 continue
             cell, n = np.unique(own << model.bits | bucket, return_counts=True)

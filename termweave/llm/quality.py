@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from .common import map_batches, text_batches
 MAX_FIT = 4_000
 MAX_WORDS, DIM, NONZERO, WINDOW, HIDDEN = 20_000, 64, 6, 2, 24
 FAR = 4.0
+#: Words of a text that are held at once.
+WORDS_AT_ONCE = 200_000
 _word = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 SHAPES = ("lower", "upper", "title", "mixed", "digit", "mark")
 
@@ -68,14 +71,31 @@ def _ids(words: dict[str, int], found: list[str]) -> list[int]:
     return [i if (i := get(w)) is not None else shape(w) for w in found]
 
 
-def _pooled(table: np.ndarray, words: dict[str, int], found: list[str]) -> np.ndarray:
+def _word_blocks(text: str, block: int) -> Iterator[list[str]]:
+    """The words of a text; of a long one about ``block`` at a time."""
+    if len(text) <= 4 * block:
+        yield _word.findall(text)
+        return
+    words = (m.group() for m in _word.finditer(text))
+    while part := list(islice(words, block)):
+        yield part
+
+
+def _pooled(table: np.ndarray, words: dict[str, int], text: str, block: int = WORDS_AT_ONCE) -> np.ndarray:
     """The mean of the words' rows, the length, and the shares of distinct words and of words that repeat the last or the one before it."""
-    n = len(found)
+    at, k, n, again, held = np.empty(0, dtype=np.int64), np.empty(0), 0, [0, 0], []
+    for found in _word_blocks(text, block):
+        n += len(found)
+        more, times = np.unique(np.array(_ids(words, found), dtype=np.int64), return_counts=True)
+        at, which = np.unique(np.concatenate([at, more]), return_inverse=True) if len(at) else (more, slice(None))
+        k = np.bincount(which, weights=np.concatenate([k, times])) if len(k) else times
+        for gap in (1, 2):
+            before = held[-gap:] + found
+            again[gap - 1] += sum(map(operator.eq, before, before[gap:]))
+        held = (held + found)[-2:]
     if not n:
         return np.zeros(table.shape[1] + 4, dtype=np.float32)
-    at, k = np.unique(np.array(_ids(words, found), dtype=np.int64), return_counts=True)
-    again = (sum(map(operator.eq, found, found[gap:])) / n for gap in (1, 2))
-    return np.append(k.astype(np.float32) @ table[at] / n, (np.log1p(n) / 10, len(at) / n, *again)).astype(np.float32)
+    return np.append((k.astype(np.float32) @ table[at]) / n, (np.log1p(n) / 10, len(at) / n, again[0] / n, again[1] / n)).astype(np.float32)
 
 
 def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -138,7 +158,7 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     shapes = np.zeros((len(index), len(SHAPES)), dtype=np.float32)
     shapes[np.arange(len(index)), [*range(len(SHAPES)), *map(shape, names)]] = 1
     table = np.hstack([context, index, shapes]).astype(np.float32)
-    x = np.array([_pooled(table, words, x) for x in found], dtype=np.float64)
+    x = np.array([_pooled(table, words, x) for x in texts], dtype=np.float64)
     y = np.array(labels, dtype=np.float64)
     mean, scale = x.mean(0), x.std(0) + 1e-3
     x = _standard(x, mean, scale)
@@ -155,7 +175,7 @@ def scores(model: Model | None, texts: list[str]) -> np.ndarray:
         return np.ones(len(texts))
     if model.constant is not None:
         return np.full(len(texts), model.constant)
-    x = np.array([_pooled(model.table, model.words, _word.findall(t)) for t in texts], dtype=np.float64).reshape(len(texts), len(model.mean))
+    x = np.array([_pooled(model.table, model.words, t) for t in texts], dtype=np.float64).reshape(len(texts), len(model.mean))
     return 1 / (1 + np.exp(-np.clip(_forward(model.layers, _standard(x, model.mean, model.scale)) / model.temperature, -30, 30)))
 
 

@@ -15,6 +15,7 @@ columns of the results' names are replaced.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,26 +31,51 @@ from .common import map_batches, staged, text_batches
 SEED, BITS = 42, 64
 #: Fingerprints of a run that one task compares at once, and shingles whose bits are counted at once.
 RUN, SHINGLES_AT_ONCE = 2_048, 1 << 16
+#: Bytes of a text whose words are held at once.
+BLOCK_BYTES = 4 << 20
 #: Links that a task gathers before it reduces them to a forest.
 LINKS_AT_ONCE = 200_000
+_space, _hash = re.compile(rb"[ \t-\r]"), xxhash.xxh64_intdigest
+
+
+def _word_blocks(data: bytes, block: int) -> Iterator[list[bytes]]:
+    """Words of about ``block`` bytes at a time, cut at white space."""
+    at = 0
+    while at < len(data):
+        end = _space.search(data, at + block)
+        stop = end.start() if end else len(data)
+        yield data[at:stop].split()  # on ASCII white space only
+        at = stop
+
+
+def simhash(text: str | None, shingle: int = 4, block: int = BLOCK_BYTES) -> int:
+    """As a signed 64-bit integer. Long texts are taken block by block, with the last words of a block before the next."""
+    ones, n, held = np.zeros(BITS, dtype=np.int64), 0, []
+    for words in _word_blocks((text or "").encode("utf-8").lower(), block):  # bytes: A-Z only
+        words = held + words
+        if len(words) < shingle:
+            held = words
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        m = len(words) - shingle + 1
+        starts = np.concatenate([[0], ends[: m - 1] + 1]).tolist()
+        ones += _bit_counts([_hash(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())])
+        n += m
+        held = words[m:]
+    if not n:
+        if not held:
+            return 0
+        ones, n = _bit_counts([_hash(b" ".join(held), SEED)]), 1
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def simhash(text: str | None, shingle: int = 4) -> int:
-    """As a signed 64-bit integer."""
-    words = (text or "").encode("utf-8").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    joined, hash64 = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    n = max(1, len(words) - shingle + 1)
-    starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
-    stops = ends[min(shingle, len(words)) - 1 :].tolist()
-    hashes = np.array([hash64(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64)
+def _bit_counts(hashes: list[int]) -> np.ndarray:
     ones = np.zeros(BITS, dtype=np.int64)
-    for a in range(0, n, SHINGLES_AT_ONCE):
-        part = hashes[a : a + SHINGLES_AT_ONCE]
+    for a in range(0, len(hashes), SHINGLES_AT_ONCE):
+        part = np.array(hashes[a : a + SHINGLES_AT_ONCE], dtype=np.uint64)
         ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+    return ones
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4, out: str = "fp", keep_text: bool = False) -> DataFrame:

@@ -50,3 +50,16 @@ def test_quality(spark):
     one = quality.fit_sample(docs, labels.filter("quality = 1"))
     assert {r.score for r in quality.score(docs, one).collect()} == {1.0}
     assert quality.score(docs.limit(0), model).collect() == []
+
+
+def test_long_texts_in_pieces_give_the_same():
+    texts, langs = [t for _, _, t in _texts(30)], [lang for _, lang, _ in _texts(30)]
+    m = langid.fit(texts, langs)
+    mixed = [" ".join(texts), "", texts[0], "a", " ".join(texts[:3])]
+    whole = langid.log_likelihoods(m, mixed)
+    for piece in (1, 2, 3, 7, 50):
+        assert np.allclose(langid.log_likelihoods(m, mixed, piece), whole)
+    q = quality.fit(texts + [f"{t} %%% $$" for t in texts], [1] * 30 + [0] * 30)
+    long = " ".join(texts) + " the the of the of der der"
+    for block in (1, 2, 3, 10):
+        assert np.allclose(quality._pooled(q.table, q.words, long, block), quality._pooled(q.table, q.words, long), atol=1e-6)

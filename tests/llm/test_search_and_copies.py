@@ -51,6 +51,13 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).collect() == [] and simhash.one_of_each(docs.limit(0)).collect() == []
 
 
+def test_fingerprints_of_blocks_are_the_same():
+    text = "Ab c\td\n\ne f  g h\x0bi j k l m n é\u00a0o p " * 7
+    for t in (text, "a b c", "a", " ", "", "one two three four", "one two three four five"):
+        for block in (1, 3, 10, 50):
+            assert simhash.simhash(t, block=block) & (2**64 - 1) == _brute_fingerprint(t)
+
+
 @pytest.mark.parametrize("run", [2_048, 16])
 def test_links_in_dense_balls(spark, run):
     rng = np.random.default_rng(0)
