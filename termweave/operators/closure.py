@@ -28,7 +28,7 @@ def closure(edges: DataFrame, relations: Sequence[str] | None = None) -> DataFra
         found = left.join(right, "mid").select("term", "anc").filter("term <> anc").distinct()
         news = cut(found.join(total, ["term", "anc"], "left_anti"))
         total = total.unionAll(news)
-    return total
+    return cut(total)  # one scan for every later use, instead of a union of rounds
 
 
 def reflexive(closed: DataFrame, nodes: DataFrame) -> DataFrame:

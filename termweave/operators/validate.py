@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from . import parse, rules
 from .ontology import Ontology
 
@@ -49,7 +50,8 @@ def validate(lines: DataFrame, ontology: Ontology, config: ParserConfig, aspects
     Rule 1 stands for a line that can't be used, 20 and 27 for obsolete and unknown terms, 59 for a relation that was upgraded.
     """
     version = config.version or parse.header_version(lines, config.kind)
-    rows = parse.annotations(parse.cells(lines, config.kind, version), config.kind, version)
+    # each step that several results rest on is checkpointed: lines are parsed, repaired and checked once
+    rows = cut(parse.annotations(parse.cells(lines, config.kind, version), config.kind, version))
     message = lambda df, rule, level, text: df.select("row_id", F.lit(rule).alias("rule"), F.lit(level).alias("level"), text.alias("message"))
     found = [message(rows.filter("problem is not null"), 1, "ERROR", F.col("problem"))]
     good = rows.filter("problem is null").drop("problem")
@@ -60,7 +62,7 @@ def validate(lines: DataFrame, ontology: Ontology, config: ParserConfig, aspects
         found.append(message(good.filter("not known_space"), 27, "WARNING", F.concat(F.lit("unknown database of "), "subject")))
         good = good.drop("known_space")
     good = parse.allowed(good, config.valid_taxa, config.include_relations, config.exclude_relations)
-    mended = parse.repaired_terms(good, ontology.nodes, ontology.replaced_by(), repair=config.repair_obsoletes)
+    mended = cut(parse.repaired_terms(good, ontology.nodes, ontology.replaced_by(), repair=config.repair_obsoletes))
     found.append(mended.filter("rule is not null").select("row_id", "rule", "level", F.concat(F.lit("term "), "term").alias("message")))
     good = parse.repaired_lists(mended.filter("not drop").drop("rule", "level", "drop"), ontology.replaced_by())
     terms = ontology.nodes.select("id").distinct().join(ontology.subsets.groupBy("id").agg(F.collect_set(F.regexp_extract("subset", "([^#]*)$", 1)).alias("subsets")), "id", "left")
@@ -68,11 +70,12 @@ def validate(lines: DataFrame, ontology: Ontology, config: ParserConfig, aspects
     flagged = rules.with_flags(good.withColumn("subject_type", F.col("type") if "type" in good.columns else F.lit("")), ontology.reflexive_closure(), terms, config.root_flags or None)
     if "aspect" not in flagged.columns:
         flagged = flagged.withColumn("aspect", F.col("term_aspect"))
+    flagged = cut(flagged)
     blank = flagged.filter("coalesce(relation, '') = ''")
     found.append(message(blank, 59, "WARNING", F.lit("a relation was added")))
     flagged = parse.upgraded_qualifiers(flagged)
     chosen = config.rules or rules.standard_rules(as_of=config.as_of, retracted=config.retracted, paint=config.paint)
-    done = rules.run(flagged, chosen, config.rule_set, config.tags)
+    done = cut(rules.run(flagged, chosen, config.rule_set, config.tags))
     found.append(rules.messages(done))
     kept = done.filter("not dropped").select(*(c for c in good.columns if c in done.columns), *(["aspect"] if "aspect" not in good.columns else []))
     if config.slim is not None:
