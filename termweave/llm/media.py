@@ -2,11 +2,13 @@
 
 A payload becomes 8-bit mono samples, byte for byte, in a WAV container written and read by the ``wave`` module. Features
 come from a short-time Fourier transform of the samples read back: the strongest local maxima of each frame are paired with
-those of the next frames, and each pair is one integer that holds the frame's number, both bins and the distance.
+each other and with those of the next frames, and each pair is one integer that holds the frame's number, both bins and the
+distance. Payloads of under four frames' length have shorter frames, the longest power of two that is a quarter at most.
 
 Defined results: a null or empty text is one block of 64 zero bytes; a null media value has null payload and fingerprint; a
-silent frame has no peaks, so a payload of zeros has an empty fingerprint; an empty table gives an empty result. Equal texts
-give equal values. Transforms run over blocks of frames, so memory follows the text and not its transform.
+silent frame has no peaks, so a payload of one level that is silence (all 0 or all 128) has an empty fingerprint, and no other
+payload has; an empty table gives an empty result. Equal texts give equal values; texts of a few words may share theirs with
+others, as only the places of peaks count. Transforms run over blocks of frames, so memory follows the text and not its transform.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .common import map_batches, text_batches
 
 RATE, BLOCK = 8000, 64
 FRAME, HOP, PEAKS, FAN = 512, 256, 2, 2
+#: Frames of short payloads are no shorter than this.
+LEAST_FRAME = 16
 FRAMES_AT_ONCE = 2048
 
 
@@ -47,21 +51,31 @@ def padded(data: bytes) -> bytes:
     return data + bytes(max(BLOCK, -(-len(data) // BLOCK) * BLOCK) - len(data))
 
 
-_window = np.hanning(FRAME + 1)[:-1].astype(np.float32)
+def frame_size(n: int) -> int:
+    """Samples in a frame of a payload of n: FRAME, or less so that a short payload has several frames."""
+    return min(FRAME, max(LEAST_FRAME, 1 << max(0, (n // 4).bit_length() - 1)))
 
 
 def spectral_peaks(samples: np.ndarray) -> np.ndarray:
-    """Bins of the PEAKS strongest local maxima of each frame, strongest first; -1 where there are fewer."""
-    n = max(1, -(-max(0, len(samples) - FRAME) // HOP) + 1)
-    level = np.zeros((n - 1) * HOP + FRAME, dtype=np.float32)
+    """Bins of the PEAKS strongest local maxima of each frame, strongest first; -1 where there are fewer.
+
+    A payload without any local maximum that isn't silence has each frame's strongest bin.
+    """
+    size = frame_size(len(samples))
+    hop = HOP * size // FRAME
+    n = max(1, -(-max(0, len(samples) - size) // hop) + 1)
+    level = np.zeros((n - 1) * hop + size, dtype=np.float32)
     level[: len(samples)] = samples
     if samples.any():
         level[: len(samples)] -= np.float32(128)
-    frames = np.lib.stride_tricks.sliding_window_view(level, FRAME)[::HOP]
+    frames = np.lib.stride_tricks.sliding_window_view(level, size)[::hop]
+    window = np.hanning(size + 1)[:-1].astype(np.float32)
     out = np.full((n, PEAKS), -1, dtype=np.int64)
+    strongest = np.full(n, -1, dtype=np.int64)
     for a in range(0, n, FRAMES_AT_ONCE):
-        z = np.fft.rfft(frames[a : a + FRAMES_AT_ONCE] * _window, axis=1)
+        z = np.fft.rfft(frames[a : a + FRAMES_AT_ONCE] * window, axis=1)
         power = z.real**2 + z.imag**2
+        strongest[a : a + len(power)] = np.where(power.any(axis=1), power.argmax(axis=1), -1)
         inner = power[:, 1:-1]
         top = np.where((inner > power[:, :-2]) & (inner >= power[:, 2:]), inner, 0)
         rows = np.arange(len(top))
@@ -69,19 +83,27 @@ def spectral_peaks(samples: np.ndarray) -> np.ndarray:
             at = top.argmax(axis=1)
             out[a : a + len(top), k] = np.where(top[rows, at] > 0, at + 1, -1)
             top[rows, at] = 0
+    if (out < 0).all() and level.any():
+        out[:, 0] = strongest
+        out[0, 0] = max(out[0, 0], 0)  # the window leaves nothing of a first sample that stands alone
     return out
 
 
 def fingerprint(payload: bytes) -> np.ndarray:
-    """Time-coded pairs, int64: frame << 32 | first bin << 20 | second bin << 8 | frames between; by frame, then pair."""
+    """Time-coded pairs, int64: frame << 32 | first bin << 20 | second bin << 8 | frames between; by frame, then pair.
+
+    In one frame, 0 frames between, the strongest is paired with each other peak, or with itself if it is the only one.
+    """
     peaks = spectral_peaks(np.frombuffer(payload, dtype=np.uint8))
-    n, found = len(peaks), []
+    n = len(peaks)
     t = np.arange(n, dtype=np.int64)
+    first, second = peaks[:, :1], np.where(peaks[:, 1:2] < 0, peaks[:, :1], peaks[:, 1:])
+    found = [np.where((first >= 0) & (second >= 0), (t[:, None] << 32) | (first << 20) | (second << 8), -1).ravel()]
     for ahead in range(1, FAN + 1):
         first, second = peaks[: n - ahead, :, None], peaks[ahead:, None, :]
         code = (t[: n - ahead, None, None] << 32) | (first << 20) | (second << 8) | ahead
         found.append(np.where((first >= 0) & (second >= 0), code, -1).ravel())
-    codes = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+    codes = np.concatenate(found)
     return np.sort(codes[codes >= 0])
 
 

@@ -32,6 +32,14 @@ def test_fingerprint_finds_a_tone():
     assert (np.diff(codes) > 0).all() and (1 << 32 | 40 << 20 | 40 << 8 | 1) in codes.tolist()
 
 
+def test_short_payloads_have_features():
+    texts = ["The quick brown fox", "jumps over the lazy dog.", "Ünï\n\n  code\t 12 'll", "word " * 60, "é" * 200, "alpha beta gamma " * 25, "lorem ipsum dolor " * 40]
+    codes = [tuple(media.fingerprint(media.padded(t.encode()))) for t in texts]
+    assert all(codes) and len(set(codes)) == len(texts)
+    assert all(len(media.fingerprint(bytes([100]) * n)) for n in range(1, 70))  # of any length, one level that isn't silence
+    assert not len(media.fingerprint(bytes(64))) and not len(media.fingerprint(bytes([128]) * 64))
+
+
 def _targets(sizes, weights=(5, 2, 1), budget=1.5):
     src = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     w = {s: weights[i % len(weights)] for i, s in enumerate(src)}
