@@ -113,6 +113,34 @@ def assoc_enrichment_two_sided(spark, d):
     return _enrichment(spark, d, "two-sided")
 
 
+def _fisher_all_sql(side: str) -> str:
+    """The same over every inferred term, with the Bonferroni factor of all of them."""
+    some, end = " WHERE term LIKE 'BRAND:%' OR term LIKE 'TYPE:%' OR term LIKE 'SIZE:%'", " HAVING "
+    head, p = _fisher_sql(side).replace(some, "").split(end)[0], "least(1, sum(p) FILTER (WHERE {}))".format({"greater": "k >= a", "less": "k <= a", "two-sided": "p <= p0 * (1 + 1e-7)"}[side])
+    return head.replace(f"round({p}, 8)::DOUBLE AS p FROM", f"round({p}, 6)::DOUBLE AS p, round(least(1, {p} * m), 6)::DOUBLE AS p_adjusted FROM")
+
+
+def _enrichment_all(spark, d, side):
+    """Every inferred term is a hypothesis; the queries above take brands, types and sizes."""
+    sample = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(cid("CUST", "c_custkey").alias("subject"))
+    return customers(spark, d).enrichment(sample, threshold=2.0, side=side).select("term", "sample_count", "bg_count", _r("p", 6).alias("p"), _r("p_adjusted", 6).alias("p_adjusted"))
+
+
+@query(_fisher_all_sql("greater"))
+def assoc_enrichment_all_greater(spark, d):
+    return _enrichment_all(spark, d, "greater")
+
+
+@query(_fisher_all_sql("less"))
+def assoc_enrichment_all_less(spark, d):
+    return _enrichment_all(spark, d, "less")
+
+
+@query(_fisher_all_sql("two-sided"))
+def assoc_enrichment_all_two_sided(spark, d):
+    return _enrichment_all(spark, d, "two-sided")
+
+
 @query("""WITH o AS (SELECT 'CUST:' || o_custkey AS subject, 'PRIO:' || o_orderpriority AS t1, 'STAT:' || o_orderstatus AS t2 FROM orders), o1 AS (SELECT DISTINCT subject, t1 FROM o), o2 AS (SELECT DISTINCT subject, t2 FROM o),
   nn AS (SELECT count(DISTINCT subject) AS n FROM o), n1 AS (SELECT t1, count(*) AS n1 FROM o1 GROUP BY t1 HAVING count(*) >= 3), n2 AS (SELECT t2, count(*) AS n2 FROM o2 GROUP BY t2 HAVING count(*) > 1)
   SELECT t1 AS class1, t2 AS class2, count(*)::BIGINT AS c, n1::BIGINT AS n1, n2::BIGINT AS n2 FROM o1 JOIN o2 USING (subject) JOIN n1 USING (t1) JOIN n2 USING (t2) GROUP BY ALL""")

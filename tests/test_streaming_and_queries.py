@@ -1,4 +1,5 @@
 import importlib.util
+import math
 
 import duckdb
 import pytest
@@ -38,6 +39,28 @@ def test_query_equals_its_oracle(spark, name):
     assert _rows(plans.QUERIES[name](spark, SF).toPandas()) == _rows(con.sql(plans.ORACLE_SQL[name]).df())
 
 
+@pytest.mark.parametrize("side", ["greater", "less", "two_sided"])
+def test_enrichment_of_all_terms(spark, side):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    name = f"assoc_enrichment_all_{side}"
+    got = plans.QUERIES[name](spark, SF).toPandas()
+    assert _rows(got) == _rows(con.sql(plans.ORACLE_SQL[name]).df())
+    inferred = plans.QUERIES["assoc_inferred"](spark, SF).toPandas()
+    sample = set(con.sql("SELECT 'CUST:' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'").df().iloc[:, 0])
+    population = len(con.sql("SELECT c_custkey FROM customer").df())
+    counts = inferred.assign(hit=inferred.subject.isin(sample)).groupby("term").hit.agg(["sum", "count"])
+    counts = counts[(counts["sum"] > 0) & (counts["count"] > 1)]
+    assert set(got.term) == set(counts.index) and {"PART", "SBAND", "THING"} <= {t.split(":")[0] for t in got.term}
+    for r in got.itertuples():
+        a, n = counts.loc[r.term]
+        a, n, size = int(a), int(n), len(sample)
+        point = {k: math.comb(n, k) * math.comb(population - n, size - k) for k in range(max(0, n + size - population), min(n, size) + 1)}
+        p = sum(x for k, x in point.items() if {"greater": k >= a, "less": k <= a, "two_sided": x <= point[a]}[side]) / math.comb(population, size)
+        assert (r.sample_count, r.bg_count) == (a, n) and abs(r.p - p) < 2e-6 and abs(r.p_adjusted - min(1, p * len(got))) < 2e-6
+
+
 def test_every_query_has_an_oracle():
     assert set(plans.QUERIES) == set(plans.ORACLE_SQL)
 
