@@ -241,18 +241,22 @@ def autocomplete(docs: DataFrame, typed: str, column: str = "label", limit: int
     return docs.filter(hit).select("id", F.col(column).alias("value"), F.startswith(v, F.lit(t)).alias("whole")).orderBy(F.desc("whole"), "value", "id").limit(limit).drop("whole")
 
 
-def annotate_text(docs: DataFrame, names: DataFrame, id_col: str = "id", text_col: str = "text", longest: int = 4) -> DataFrame:
-    """(id, start, end, text, term): where names (term, val) stand in texts, as runs of up to ``longest`` words (GLR-37).
+def annotate_text(docs: DataFrame, names: DataFrame, id_col: str = "id", text_col: str = "text", longest: int | None = None) -> DataFrame:
+    """(id, start, end, text, term): where names (term, val) stand in texts (GLR-37), or those of up to ``longest`` words.
 
-    Words are found with their offsets natively; runs of words are joined with the names by their lower-case form.
+    Words are found with their offsets natively; runs of as many words as some name has are joined with the names by their
+    lower-case form.
     """
     lower = F.lower(F.col(text_col))
     words = F.filter(F.split(lower, r"[^\p{L}\p{N}]+"), lambda w: w != "")
     spaced = F.regexp_replace(lower, r"[^\p{L}\p{N}]", " ")
+    named = names.filter("val is not null").select("term", F.lower("val").alias("gram")).distinct()
+    sizes = named.select(F.size(F.split("gram", " ")).alias("n")).distinct()
+    sizes = sizes if longest is None else sizes.filter(F.col("n") <= longest)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("whole"), spaced.alias("spaced"), words.alias("words")).filter(F.size("words") > 0)
-    starts = base.select("id", "whole", "spaced", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n"), "words").filter(F.col("n") <= F.size("words"))
+    starts = base.select("id", "whole", "spaced", "words").join(F.broadcast(sizes), F.col("n") <= F.size("words"))
     grams = starts.select("id", "whole", "spaced", F.explode(F.array_distinct(F.expr("transform(sequence(1, size(words) - n + 1), i -> array_join(slice(words, i, n), ' '))"))).alias("gram"))
-    hits = grams.join(names.select("term", F.lower("val").alias("gram")).distinct(), "gram")
+    hits = grams.join(named, "gram")
     spans = hits.select("id", "whole", "term", "gram", F.explode(F.expr("filter(transform(sequence(1, length(spaced) - length(gram) + 1), p -> if(substring(concat(' ', spaced, ' '), p, length(gram) + 2) = concat(' ', gram, ' '), p, 0)), p -> p > 0)")).alias("p"))
     return spans.select("id", (F.col("p") - 1).alias("start"), (F.col("p") - 1 + F.char_length("gram")).alias("end"), F.expr("substring(whole, p, length(gram))").alias("text"), "term")
 

@@ -210,6 +210,12 @@ def test_text_annotation(spark):
     names = spark.createDataFrame([("X:1", "big cat"), ("X:2", "sat"), ("X:3", "at")], "term string, val string")
     got = sorted((r.start, r.end, r.text, r.term) for r in search.annotate_text(docs, names).collect())
     assert got == [(2, 9, "Big cat", "X:1"), (28, 31, "sat", "X:2")]
+    long = "positive regulation of transcription by RNA polymerase II"
+    docs = spark.createDataFrame([("d", f"The {long}, and binding."), ("e", "of RNA"), ("f", None)], "id string, text string")
+    names = spark.createDataFrame([("G:1", long), ("G:2", "RNA polymerase II"), ("G:3", "binding"), ("G:4", None)], "term string, val string")
+    got = sorted((r.id, r.start, r.end, r.text, r.term) for r in search.annotate_text(docs, names).collect())
+    assert got == [("d", 4, 61, long, "G:1"), ("d", 44, 61, "RNA polymerase II", "G:2"), ("d", 67, 74, "binding", "G:3")]
+    assert {r.term for r in search.annotate_text(docs, names, longest=3).collect()} == {"G:2", "G:3"}
 
 
 def test_triples(spark):
