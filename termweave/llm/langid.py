@@ -1,9 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts come from a bounded sample of labelled texts (``per_lang`` of each language, chosen by a hash of the id). The matrix of
-log-probabilities, buckets by languages, is broadcast; its size is fixed by ``bits`` and the number of languages. Batches are
-scored sparsely: the n-grams of many texts are hashed in one array, counted per text and bucket, and multiplied with the
-matrix rows that occur. Whole texts count, in pieces, so memory does not follow the longest.
+Counts come from a bounded sample of labelled texts (``per_lang`` of each language, chosen by a hash of id and text, one at
+least of every language). They are broadcast sparsely; the matrix of log-probabilities, buckets by languages, is made for
+BLOCK_LANGS languages at once, so any number of them can be learned. Batches are scored sparsely: the n-grams of many texts are
+hashed in one array, counted per text and bucket, and multiplied with the matrix rows that occur. Whole texts count, in pieces,
+so memory does not follow the longest.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without any labelled text every text is
 ``und``; equally likely languages resolve to the one first by code point; an empty table gives an empty result. Extra columns
@@ -28,8 +29,8 @@ UND = "und"
 BITS, ORDERS = 16, (1, 2, 3)
 #: Labelled texts of each language, and of all, that the counts are taken from.
 PER_LANG, MAX_FIT = 800, 16_000
-#: Languages that can be learned, the most frequent ones.
-MAX_LANGS = 256
+#: Languages whose matrix of log-probabilities is made at once.
+BLOCK_LANGS = 64
 #: Code points hashed at once.
 PIECE = 1 << 18
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -39,10 +40,34 @@ _letter = regex.compile(r"\p{L}")
 @dataclass
 class Model:
     langs: list[str]
-    logp: np.ndarray  # buckets x languages
+    cells: np.ndarray  # language << bits | bucket, of the n-grams that occur, ascending
+    counts: np.ndarray
     prior: np.ndarray
     bits: int = BITS
     orders: tuple[int, ...] = ORDERS
+    smooth: float = 0.5
+
+    def block(self, a: int, b: int) -> np.ndarray:
+        """Log-probabilities, buckets by languages a to b; held if those are all."""
+        held = self.__dict__.get("_held")
+        if held is not None and held.shape[1] == b - a:
+            return held
+        at = slice(*np.searchsorted(self.cells, [a << self.bits, b << self.bits]))
+        cells, n = self.cells[at], self.counts[at]
+        lang = (cells >> self.bits) - a
+        out = np.full((1 << self.bits, b - a), np.log(self.smooth))
+        out[cells & ((1 << self.bits) - 1), lang] = np.log(n + self.smooth)
+        out -= np.log(np.bincount(lang, n, b - a) + self.smooth * (1 << self.bits))
+        if b - a == len(self.langs):
+            self._held = out
+        return out
+
+    @property
+    def logp(self) -> np.ndarray:
+        return self.block(0, len(self.langs))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_held"}
 
 
 def _buckets(codes: np.ndarray, owner: np.ndarray, bits: int, orders: tuple[int, ...], lead: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -91,42 +116,52 @@ def _pieces(texts: list[str], context: int, size: int | None = None) -> Iterator
 
 def fit(texts: list[str], langs: list[str], bits: int = BITS, orders: tuple[int, ...] = ORDERS, smooth: float = 0.5) -> Model:
     names = sorted(set(langs))
-    at = np.array([names.index(x) for x in langs], dtype=np.int64)
-    counts = np.zeros((len(names), 1 << bits))
-    for codes, owner, lead in _pieces(texts, max(orders) - 1):
-        for bucket, own in _buckets(codes, owner, bits, orders, lead):
-            np.add.at(counts.reshape(-1), at[own] * (1 << bits) + bucket, 1)
-    logp = np.log(counts + smooth) - np.log(counts.sum(axis=1, keepdims=True) + smooth * (1 << bits))
+    number = {x: i for i, x in enumerate(names)}
+    at = np.array([number[x] for x in langs], dtype=np.int64)
+    cells, found = [], []
+    by_lang = np.argsort(at, kind="stable")
+    for a in range(0, len(names), BLOCK_LANGS):
+        mine = by_lang[slice(*np.searchsorted(at[by_lang], [a, a + BLOCK_LANGS]))]
+        counts = np.zeros(min(BLOCK_LANGS, len(names) - a) << bits)
+        for codes, owner, lead in _pieces([texts[i] for i in mine], max(orders) - 1):
+            for bucket, own in _buckets(codes, owner, bits, orders, lead):
+                np.add.at(counts, (at[mine][own] - a) * (1 << bits) + bucket, 1)
+        cells.append(np.flatnonzero(counts) + (a << bits))
+        found.append(counts[counts > 0])
     prior = np.log(np.bincount(at, minlength=len(names)) / max(1, len(at)))
-    return Model(names, np.ascontiguousarray(logp.T), prior, bits, orders)
+    return Model(names, np.concatenate(cells), np.concatenate(found), prior, bits, orders, smooth)
 
 
 def log_likelihoods(model: Model, texts: list[str], piece: int | None = None) -> np.ndarray:
     """Texts by languages, prior included."""
     out = np.tile(model.prior, (len(texts), 1))
-    for codes, owner, lead in _pieces(texts, max(model.orders) - 1, piece):
-        for bucket, own in _buckets(codes, owner, model.bits, model.orders, lead):
-            if not len(own):
-                continue
-            cell, n = np.unique(own << model.bits | bucket, return_counts=True)
-            row, col = cell >> model.bits, cell & ((1 << model.bits) - 1)
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])
-            out[row[starts]] += np.add.reduceat(n[:, None] * model.logp[col], starts, axis=0)
+    for a in range(0, len(model.langs), BLOCK_LANGS):
+        b = min(a + BLOCK_LANGS, len(model.langs))
+        logp = model.block(a, b)
+        for codes, owner, lead in _pieces(texts, max(model.orders) - 1, piece):
+            for bucket, own in _buckets(codes, owner, model.bits, model.orders, lead):
+                if not len(own):
+                    continue
+                cell, n = np.unique(own << model.bits | bucket, return_counts=True)
+                row, col = cell >> model.bits, cell & ((1 << model.bits) - 1)
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])
+                out[row[starts], a:b] += np.add.reduceat(n[:, None] * logp[col], starts, axis=0)
     return out
 
 
 def fit_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_fit: int = MAX_FIT) -> Model | None:
-    """The model of at most per_lang texts of each language and max_fit in all; rows without text or language don't count."""
+    """The model of at most per_lang texts of each language and max_fit in all, but one of every language; rows without text or language don't count."""
     able = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
-    order = F.xxhash64("id", F.lit("langid"))
-    per = able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    order = F.xxhash64("id", F.xxhash64("text"), F.lit("langid"))
+    low = F.pmod(order, F.lit(1 << 30))
+    per = able.groupBy("lang").agg(F.count("*").alias("n"), F.min(low).alias("least")).collect()
     if not per:
         return None
-    # of a frequent language only hashes below a share that leaves enough rows are ranked
-    share = F.create_map(*(F.lit(x) for r in per for x in (r.lang, min(1.0, (1.5 * per_lang + 100) / r.n))))
-    few = able.select("id", "lang", F.xxhash64("text").alias("t")).filter(F.pmod(order, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
-    picked = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, "id", "t"))).filter(F.col("k") <= per_lang)
-    picked = picked.orderBy("k", "lang").limit(max_fit).select(F.col("id").alias("i"), F.col("lang").alias("l"), "t").distinct()
+    # of a frequent language only hashes up to a share that leaves enough rows are ranked, its least among them
+    upto = docs.sparkSession.createDataFrame([(r.lang, max(r.least, int(min(1.0, (1.5 * per_lang + 100) / r.n) * (1 << 30)))) for r in per], "lang string, upto long")
+    few = able.join(F.broadcast(upto), "lang").filter(low <= F.col("upto")).select("id", "lang", F.xxhash64("text").alias("t"), order.alias("h"))
+    picked = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "t"))).filter(F.col("k") <= per_lang)
+    picked = picked.orderBy("k", "lang").limit(max(max_fit, len(per))).select(F.col("id").alias("i"), F.col("lang").alias("l"), "t").distinct()
     found = able.join(F.broadcast(picked), F.col("id").eqNullSafe(F.col("i")) & (F.col("lang") == F.col("l")) & (F.xxhash64("text") == F.col("t"))).dropDuplicates(["id", "lang", "t"])
     rows = sorted(found.select("id", "lang", "text").collect(), key=lambda r: (r.id is None, r.id, r.lang, r.text))
     return fit([r.text for r in rows], [r.lang for r in rows]) if rows else None

@@ -22,6 +22,22 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(2 * i + j, chr(0x4E00 + i) * (5 + j), f"l{i:03}") for i in range(300) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_sample(docs, max_fit=100)
+    assert model.langs == sorted({r[2] for r in rows})
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs.drop("lang"), model).collect()} == {i: lang for i, _, lang in rows}
+
+
+def test_frequent_language_with_one_id_is_learned(spark):
+    from pyspark.sql import functions as F
+
+    same = lambda i, lang: spark.range(30_000).select(F.lit(i).cast("long").alias("doc_id"), F.lit("der und").alias("text"), F.lit(lang).alias("lang"))
+    texts = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("le été "), F.col("id")).alias("text"), F.lit("fr").alias("lang"))
+    assert langid.fit_sample(same(None, "de").union(same(7, "nl")).union(same(8, "af")).union(texts)).langs == ["af", "de", "fr", "nl"]
+
+
 def test_language_scores_equal_a_direct_count():
     texts, langs = [t for _, _, t in _texts(30)], [lang for _, lang, _ in _texts(30)]
     m = langid.fit(texts, langs)
