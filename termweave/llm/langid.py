@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts come from a bounded sample of labelled texts (``per_lang`` of each language, chosen by a hash of id and text, one at
-least of every language). They are broadcast sparsely; the matrix of log-probabilities, buckets by languages, is made for
+least of every language), and the prior from all labelled texts, whatever the sample. They are broadcast sparsely; the matrix of log-probabilities, buckets by languages, is made for
 BLOCK_LANGS languages at once, so any number of them can be learned. Batches are scored sparsely: the n-grams of many texts are
 hashed in one array, counted per text and bucket, and multiplied with the matrix rows that occur. Whole texts count, in pieces,
 so memory does not follow the longest.
@@ -114,7 +114,8 @@ def _pieces(texts: list[str], context: int, size: int | None = None) -> Iterator
         yield np.concatenate(codes), np.concatenate(owner), lead
 
 
-def fit(texts: list[str], langs: list[str], bits: int = BITS, orders: tuple[int, ...] = ORDERS, smooth: float = 0.5) -> Model:
+def fit(texts: list[str], langs: list[str], bits: int = BITS, orders: tuple[int, ...] = ORDERS, smooth: float = 0.5, totals: dict[str, int] | None = None) -> Model:
+    """The prior follows totals, the texts of each language, or those given."""
     names = sorted(set(langs))
     number = {x: i for i, x in enumerate(names)}
     at = np.array([number[x] for x in langs], dtype=np.int64)
@@ -128,7 +129,8 @@ def fit(texts: list[str], langs: list[str], bits: int = BITS, orders: tuple[int,
                 np.add.at(counts, (at[mine][own] - a) * (1 << bits) + bucket, 1)
         cells.append(np.flatnonzero(counts) + (a << bits))
         found.append(counts[counts > 0])
-    prior = np.log(np.bincount(at, minlength=len(names)) / max(1, len(at)))
+    texts_of = np.bincount(at, minlength=len(names)) if totals is None else np.array([totals[x] for x in names])
+    prior = np.log(texts_of / max(1, texts_of.sum()))
     return Model(names, np.concatenate(cells), np.concatenate(found), prior, bits, orders, smooth)
 
 
@@ -164,7 +166,7 @@ def fit_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     picked = picked.orderBy("k", "lang").limit(max(max_fit, len(per))).select(F.col("id").alias("i"), F.col("lang").alias("l"), "t").distinct()
     found = able.join(F.broadcast(picked), F.col("id").eqNullSafe(F.col("i")) & (F.col("lang") == F.col("l")) & (F.xxhash64("text") == F.col("t"))).dropDuplicates(["id", "lang", "t"])
     rows = sorted(found.select("id", "lang", "text").collect(), key=lambda r: (r.id is None, r.id, r.lang, r.text))
-    return fit([r.text for r in rows], [r.lang for r in rows]) if rows else None
+    return fit([r.text for r in rows], [r.lang for r in rows], totals={r.lang: r.n for r in per}) if rows else None
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:

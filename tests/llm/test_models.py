@@ -38,6 +38,12 @@ def test_frequent_language_with_one_id_is_learned(spark):
     assert langid.fit_sample(same(None, "de").union(same(7, "nl")).union(same(8, "af")).union(texts)).langs == ["af", "de", "fr", "nl"]
 
 
+def test_prior_follows_all_texts(spark):
+    docs = spark.createDataFrame([(i, f"the of {i}", "en") for i in range(900)] + [(900 + i, f"der und {i}", "de") for i in range(100)], "doc_id long, text string, lang string")
+    model = langid.fit_sample(docs, per_lang=50)
+    assert model.langs == ["de", "en"] and np.allclose(np.exp(model.prior), [0.1, 0.9])
+
+
 def test_language_scores_equal_a_direct_count():
     texts, langs = [t for _, _, t in _texts(30)], [lang for _, lang, _ in _texts(30)]
     m = langid.fit(texts, langs)
