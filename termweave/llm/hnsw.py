@@ -153,15 +153,15 @@ def build(points: np.ndarray, seed: int = 0) -> tuple[np.ndarray, list[np.ndarra
 
 
 def search(points: np.ndarray, layers: list[np.ndarray], x: np.ndarray, k: int, width: int = EF_SEARCH) -> np.ndarray:
-    """Rows of the k nearest found for each row of x, -1 where there are fewer."""
-    out = np.full((len(x), k), -1, dtype=np.int64)
+    """Rows of the whole beam, ``width`` or k points, for each row of x, -1 where there are fewer; in the order of float32 distances."""
+    width = max(width, k)
+    out = np.full((len(x), width), -1, dtype=np.int64)
     for a in range(0, len(x), BATCH):
         part = x[a : a + BATCH]
         entry = np.zeros((len(part), 1), dtype=np.int64)
         for links in reversed(layers[1:]):
             entry = search_layer(points, links, part, entry, 1)[0]
-        ids = search_layer(points, layers[0], part, entry, max(width, k))[0][:, :k]
-        out[a : a + len(part), : ids.shape[1]] = ids
+        out[a : a + len(part)] = search_layer(points, layers[0], part, entry, width)[0]
     return out
 
 
@@ -192,6 +192,9 @@ def _search_shard(index: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Data
         for q, v, ids in zip(queries.query_id, x, near):
             ids = ids[ids >= 0]
             d = np.sqrt(((points[ids] - v) ** 2).sum(axis=1))
+            if len(ids) > k + 1:  # as each point but the query's has an id, none of the k best lies beyond the k + 1 nearest; ties stay
+                near_enough = d <= np.partition(d, k)[k]
+                ids, d = ids[near_enough], d[near_enough]
             best = sorted((float(s), int(i)) for s, at in zip(d, ids) for i in row.ids[at] if i != q)[:k]
             found["query_id"] += [q] * len(best)
             found["score"] += [s for s, _ in best]

@@ -110,6 +110,20 @@ def test_search_recall_and_order(spark):
         assert all(s == pytest.approx(float(np.sqrt(((np.array(vectors[i]) - vectors[q]) ** 2).sum())), abs=1e-12) for s, i in found)
 
 
+def test_search_ties_go_to_the_nearer_in_double_then_the_smaller_id(spark):
+    rows = [(0, [5.0] * 8)]
+    for i in range(1, 41):
+        v = [5.0] * 8
+        v[i % 8] += (-1) ** i * 1.0
+        v[(i % 8 + 1 + i // 8) % 8] += 1.0 if i % 3 else -1.0
+        rows.append((i, v))
+    rows[35][1][0] += 1e-9 if rows[35][1][0] < 5 else -1e-9 if rows[35][1][0] > 5 else 0
+    rows[32][1][0] += 1e-9 if rows[32][1][0] < 5 else -1e-9 if rows[32][1][0] > 5 else 0
+    df = hnsw.clean_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = hnsw.nearest(hnsw.build_index(df), df.filter("id = 0")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [i for _, i in _nearest(dict(rows), 10)[0]] and got[0].vec_id in (32, 35)
+
+
 def test_search_small_and_ragged(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (100, [1.0, 2.0, 3.0]), (200, [3.0, 2.0, 1.0])]
     df = hnsw.clean_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
