@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,11 +91,11 @@ def topological(edges: DataFrame, nodes: DataFrame, most: int = 10_000) -> DataF
     raise ValueError("the graph has a cycle")
 
 
-def simple_paths(edges: DataFrame, start: DataFrame, most: int = 50) -> DataFrame:
-    """(path): all simple upward paths from start (id) to nodes without parents (ONT-38)."""
+def simple_paths(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """(path): all simple upward paths from start (id) to nodes without parents (ONT-38), or those of up to ``most`` nodes."""
     e = edges.select("sub", "obj").distinct()
     now, done = start.select(F.array("id").alias("path")), None
-    for _ in range(most):
+    for _ in count() if most is None else range(most):
         last = F.element_at("path", -1)
         more = now.join(e, last == F.col("sub"), "left").filter("obj is null or not array_contains(path, obj)")
         ends = more.filter("obj is null").select("path")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,13 +146,16 @@ def obograph(ontology: Ontology) -> DataFrame:
     return nodes.unionByName(edges)
 
 
-def tree(ontology: Ontology, relations: Sequence[str] | None = None, most: int = 60, symbols: Mapping[str, str] | None = None) -> DataFrame:
-    """(path, value): each node under each of its parents, indented by depth; a node above itself ends its branch with a mark (SNK-11)."""
+def tree(ontology: Ontology, relations: Sequence[str] | None = None, most: int | None = None, symbols: Mapping[str, str] | None = None) -> DataFrame:
+    """(path, value): each node under each of its parents, indented by depth; a node above itself ends its branch with a mark (SNK-11).
+
+    With ``most``, down to that depth only.
+    """
     marks = symbols or {"subClassOf": "%", "BFO:0000050": "<"}
     e = C.with_relations(ontology.edges, relations).select("sub", "pred", "obj").distinct()
     now = ontology.roots(relations).select(F.array("id").alias("path"), F.lit(None).cast("string").alias("pred"), F.lit(False).alias("again"))
     done = now
-    for _ in range(most):
+    for _ in count() if most is None else range(most):
         last = F.element_at("path", -1)
         step = now.filter("not again").select("path").join(e, last == F.col("obj"))
         now = C.cut(step.select(F.concat("path", F.array("sub")).alias("path"), "pred", F.array_contains("path", F.col("sub")).alias("again")))

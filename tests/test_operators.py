@@ -205,6 +205,14 @@ def test_faceted_search(spark):
     assert [r.id for r in search.text_search(named, "gene 2", {"label": 2.0}).collect()][0] == "2" and [r.id for r in search.autocomplete(named, "gene 3").collect()] == ["3"]
 
 
+def test_simple_paths_of_any_length(spark):
+    edges = spark.createDataFrame([(f"n{i}", "p", f"n{i + 1}") for i in range(52)] + [("n50", "p", "n0"), ("n51", "p", "x")], "sub string, pred string, obj string")
+    start = spark.createDataFrame([("n0",)], "id string")
+    chain = [f"n{i}" for i in range(53)]
+    assert sorted(r.path for r in closure.simple_paths(edges, start).collect()) == sorted([chain, [*chain[:52], "x"]])
+    assert closure.simple_paths(edges, start, most=3).count() == 0
+
+
 def test_text_annotation(spark):
     docs = spark.createDataFrame([("d", "A Big cat, and the big  CAT sat.")], "id string, text string")
     names = spark.createDataFrame([("X:1", "big cat"), ("X:2", "sat"), ("X:3", "at")], "term string, val string")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termweave.operators import parse, rules
+from termweave.operators.ontology import Ontology
 from termweave.sources import readers, writers
 
 OBO = "http://purl.obolibrary.org/obo/"
@@ -188,6 +189,12 @@ def test_renderers(spark, graph):
     assert sorted(numbers) == [["N", str(i), x] for i, x in enumerate(["EX:x", "GO:0000001", "GO:0000002", "GO:0000003"])]
 
 
+def test_tree_of_any_depth(spark):
+    deep = Ontology.of_edges(spark.createDataFrame([(f"n{i + 1:02}", "subClassOf", f"n{i:02}") for i in range(63)], "sub string, pred string, obj string"))
+    assert [r.path[-1] for r in writers.tree(deep).select("path").collect()] == [f"n{i:02}" for i in range(64)]
+    assert writers.tree(deep, most=2).count() == 3
+
+
 def test_reports(spark):
     found = spark.createDataFrame([(1, 2, "ERROR", "m"), (2, 2, "WARNING", "n"), (3, 5, "INFO", "o")], "row_id long, rule int, level string, message string")
     counters = spark.createDataFrame([(3, 2, 1)], "lines long, associations long, skipped long")
