@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from . import parse, rules
-from .ontology import Ontology
+from .ontology import IS_A, PART_OF, Ontology
 
 
 @dataclass
 class ParserConfig:
-    """Options of a run. rule_set None runs no rule, "all" all of them, a list those; as_of stands for today."""
+    """Options of a run. rule_set None runs no rule, "all" all of them, a list those; as_of stands for today.
+
+    constraints (relation, namespaces, primary_root_terms, cardinality) are those of rule 58, evidence (code, ref, cls) the
+    table of evidence classes, inferences (key, satisfiable, taxon_problem, inferences) what rule 13 looks up.
+    """
 
     kind: str = "gaf"
     version: str | None = None
     rule_set: Sequence[int] | str | None = None
-    tags: Sequence[str] = ()
+    contexts: Sequence[str] = ()
     repair_obsoletes: bool = True
     valid_taxa: Sequence[str] | None = None
     include_relations: Sequence[str] | None = None
@@ -31,8 +35,13 @@ class ParserConfig:
     as_of: str = "2024-01-01"
     paint: bool = False
     retracted: Sequence[str] = ()
+    old_refs: Sequence[str] = ()
+    reference_taxa: Sequence[str] = ()
+    ref_evidence: Mapping[str, Sequence[str]] | None = None
+    constraints: DataFrame | None = None
+    evidence: DataFrame | None = None
+    inferences: DataFrame | None = None
     rules: Sequence[rules.Rule] | None = None
-    root_flags: dict[str, Sequence[str]] = field(default_factory=dict)
 
 
 @dataclass
@@ -45,7 +54,7 @@ class Validated:
 
 
 def validate(lines: DataFrame, ontology: Ontology, config: ParserConfig, aspects: DataFrame | None = None) -> Validated:
-    """lines (row_id, value) through all steps. aspects: id, aspect of terms.
+    """lines (row_id, value) through all steps. aspects (id, aspect) stand for the namespaces that the ontology states.
 
     Rule 1 stands for a line that can't be used, 20 and 27 for obsolete and unknown terms, 59 for a relation that was upgraded.
     """
@@ -65,18 +74,24 @@ def validate(lines: DataFrame, ontology: Ontology, config: ParserConfig, aspects
     mended = cut(parse.repaired_terms(good, ontology.nodes, ontology.replaced_by(), repair=config.repair_obsoletes))
     found.append(mended.filter("rule is not null").select("row_id", "rule", "level", F.concat(F.lit("term "), "term").alias("message")))
     good = parse.repaired_lists(mended.filter("not drop").drop("rule", "level", "drop"), ontology.replaced_by())
-    terms = ontology.nodes.select("id").distinct().join(ontology.subsets.groupBy("id").agg(F.collect_set(F.regexp_extract("subset", "([^#]*)$", 1)).alias("subsets")), "id", "left")
-    terms = terms.join(aspects.select("id", "aspect"), "id", "left") if aspects is not None else terms.withColumn("aspect", F.lit(None).cast("string"))
-    flagged = rules.with_flags(good.withColumn("subject_type", F.col("type") if "type" in good.columns else F.lit("")), ontology.reflexive_closure(), terms, config.root_flags or None)
+    spaces = F.create_map(*(F.lit(x) for kv in rules.NAMESPACES.items() for x in kv))
+    branch = ontology.obo_namespace().select("id", F.element_at(spaces, F.col("namespace")).alias("aspect")) if aspects is None else aspects.select("id", "aspect")
+    terms = ontology.nodes.select("id").distinct().join(ontology.subsets.groupBy("id").agg(F.collect_set(F.regexp_extract("subset", "([^#]*)$", 1)).alias("subsets")), "id", "left").join(branch, "id", "left")
+    if config.inferences is not None:
+        good = rules.infer(good, config.inferences)[0]
+    typed = good.withColumn("subject_type", F.col("type") if "type" in good.columns else F.lit(""))
+    subclasses, wide = ontology.reflexive_closure([IS_A]), ontology.reflexive_closure([IS_A, PART_OF])
+    allowed = None if config.constraints is None else rules.constraint_closure(config.constraints, subclasses)
+    flagged = rules.with_flags(typed, subclasses, terms, wide, constraints=allowed, evidence=config.evidence)
     if "aspect" not in flagged.columns:
         flagged = flagged.withColumn("aspect", F.col("term_aspect"))
     flagged = cut(flagged)
     blank = flagged.filter("coalesce(relation, '') = ''")
     found.append(message(blank, 59, "WARNING", F.lit("a relation was added")))
     flagged = parse.upgraded_qualifiers(flagged)
-    chosen = config.rules or rules.standard_rules(as_of=config.as_of, retracted=config.retracted, paint=config.paint)
-    done = cut(rules.run(flagged, chosen, config.rule_set, config.tags))
-    found.append(rules.messages(done))
+    chosen = config.rules or rules.standard_rules(config.as_of, config.retracted, config.old_refs, config.reference_taxa, config.ref_evidence, config.paint)
+    done = cut(rules.run(flagged, chosen, config.rule_set, config.contexts))
+    found.append(rules.messages(done, chosen, config.rule_set, config.contexts))
     kept = done.filter("not dropped").select(*(c for c in good.columns if c in done.columns), *(["aspect"] if "aspect" not in good.columns else []))
     if config.slim is not None:
         kept, lost = parse.mapped_to_subset(kept, config.slim)

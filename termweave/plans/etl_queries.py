@@ -8,9 +8,8 @@ from ..functions import text
 from ..operators import differ as D
 from ..operators import lexmap as L
 from ..operators import parse as P
-from ..operators import rules as U
 from ..sources import writers as W
-from .derived import CLOSURE, EDGES, LINES, annotation_lines, cid, product, sql, table
+from .derived import LINES, annotation_lines, cid, product, table
 from .registry import query
 
 
@@ -65,61 +64,6 @@ def parse_extensions(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(F.flatten(text.extension_units(cell))).alias("u")).select("id", "u.relation", "u.term")
 
 
-# --- rules: terms are sizes of parts, so that facts about terms come from the product graph
-
-RULED = f"""{sql(EDGES, CLOSURE, LINES)}, f AS (SELECT l.*, qualifier LIKE 'NOT%' AS negated, l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10) AS in_cat, ['P', 'F', 'C'][(l_partkey % 2 + 1)::INT] AS term_aspect FROM lines l),
-  r AS (
-    SELECT row_id, 5 AS k, 11 AS rule, 'ERROR' AS level FROM f WHERE evidence = 'ND'
-    UNION ALL SELECT row_id, 9, 17, 'WARNING' FROM f WHERE evidence = 'IDA' AND has_with
-    UNION ALL SELECT row_id, 10, 18, 'WARNING' FROM f WHERE evidence = 'IPI' AND NOT has_with
-    UNION ALL SELECT row_id, 8, 16, 'WARNING' FROM f WHERE evidence = 'IC'
-    UNION ALL SELECT row_id, 12, 26, 'ERROR' FROM f WHERE evidence = 'IBA'
-    UNION ALL SELECT row_id, 13, 28, 'WARNING' FROM f WHERE aspect <> term_aspect
-    UNION ALL SELECT row_id, 14, 29, CASE WHEN date_diff('day', date, DATE '1999-01-01') > 1095 THEN 'ERROR' ELSE 'WARNING' END FROM f WHERE evidence = 'IEA' AND date_diff('day', date, DATE '1999-01-01') > 365
-    UNION ALL SELECT row_id, 16, 37, 'ERROR' FROM f WHERE evidence = 'IBA'
-    UNION ALL SELECT row_id, 3, 7, 'WARNING' FROM f WHERE evidence = 'IPI' AND in_cat
-    UNION ALL SELECT row_id, 24, 63, 'WARNING' FROM f WHERE evidence = 'ISS' AND NOT has_with
-    UNION ALL SELECT row_id, 20, 50, 'WARNING' FROM f WHERE evidence = 'ISS' AND has_with),
-  m AS (SELECT r.*, min(k) FILTER (WHERE level = 'ERROR') OVER (PARTITION BY row_id) AS stop FROM r), kept AS (SELECT * FROM m WHERE stop IS NULL OR k <= stop)"""
-
-
-def _ruled(spark, d):
-    rows = _annotations(spark, d).withColumn("relation", F.lit("part_of")).withColumn("subject_type", F.lit("gene")).withColumn("extensions", F.array().cast("array<array<struct<relation:string,term:string>>>"))
-    part = table(spark, d, "part")
-    asp = F.get(F.array(F.lit("P"), F.lit("F")), (F.col("p_partkey") % 2).cast("int"))
-    terms = part.select(cid("PART", "p_partkey").alias("id"), asp.alias("aspect"), F.array().cast("array<string>").alias("subsets"))
-    closed = part.filter("p_size < 10").select(cid("PART", "p_partkey").alias("term"), F.lit("GO:0003824").alias("anc"))
-    flagged = U.with_flags(rows, closed, terms).withColumn("taxa", F.array(F.lit("NCBITaxon:1")))
-    chosen = [r for r in U.standard_rules(as_of="1999-01-01") if r.id not in (61, 43)]
-    return U.run(flagged, chosen)
-
-
-@query(f"{RULED} SELECT row_id, rule, level FROM kept")
-def rules_results(spark, d):
-    return U.messages(_ruled(spark, d)).select("row_id", "rule", "level")
-
-
-@query(f"{RULED} SELECT row_id, CASE WHEN evidence = 'ND' THEN 11 WHEN evidence = 'IBA' THEN 26 WHEN evidence = 'IEA' AND date_diff('day', date, DATE '1999-01-01') > 1095 THEN 29 ELSE 0 END AS rule FROM f")
-def rules_first_error(spark, d):
-    first = F.get(F.filter("results", lambda x: x["level"] == "ERROR"), F.lit(0))["rule"]
-    return _ruled(spark, d).select("row_id", F.coalesce(first, F.lit(0)).alias("rule"))
-
-
-@query(f"{RULED} SELECT row_id, term_aspect AS aspect FROM f")
-def rules_repair(spark, d):
-    return _ruled(spark, d).select("row_id", "aspect")
-
-
-@query(f"{RULED} SELECT rule, level, count(*)::BIGINT AS n FROM kept GROUP BY ALL")
-def report_counts(spark, d):
-    return U.report_counts(U.messages(_ruled(spark, d)))
-
-
-@query(f"{RULED} SELECT row_id, rule FROM kept QUALIFY row_number() OVER (PARTITION BY rule ORDER BY row_id) <= 100")
-def report_capped(spark, d):
-    return U.capped(U.messages(_ruled(spark, d)), 100).select("row_id", "rule")
-
-
 @query("""SELECT 'SUPP:' || l_suppkey AS subject, 'PART:' || l_partkey AS object, s.s_name AS label FROM lineitem JOIN supplier s ON s_suppkey = l_suppkey""")
 def entities_join(spark, d):
     rows = table(spark, d, "lineitem").select(cid("SUPP", "l_suppkey").alias("subject"), cid("PART", "l_partkey").alias("object"))

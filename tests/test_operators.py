@@ -169,7 +169,7 @@ def test_rules(spark, onto):
     fixed = {r.row_id: r for r in done.collect()}
     assert fixed[6].aspect == "P" and fixed[7].relation == "acts_upstream_of_or_within" and fixed[8].dropped and not fixed[6].dropped
     assert rules.run(flagged, rules.standard_rules(), None).filter("size(results) > 0").count() == 0
-    assert {r.rule for r in rules.messages(rules.run(flagged, rules.standard_rules(), [17])).collect()} == {17}
+    assert {r.rule for r in rules.messages(rules.run(flagged, rules.standard_rules(), [17]), rules.standard_rules(), [17]).collect()} == {17}
     cases = flagged.filter("row_id in (1, 12)").withColumn("rule_id", F.lit(17)).withColumn("kind", F.when(F.col("row_id") == 1, "pass").otherwise("fail"))
     assert all(r.ok for r in rules.examples(cases, rules.standard_rules()).collect())
 
@@ -177,11 +177,36 @@ def test_rules(spark, onto):
 def test_extension_constraints(spark, onto):
     unit = F.struct(F.lit("part_of").alias("relation"), F.lit("CL:1").alias("term"))
     odd = F.struct(F.lit("has").alias("relation"), F.lit("CL:1").alias("term"))
-    rows = _rule_rows(spark).filter("row_id = 1").withColumn("extensions", F.array(F.array(unit), F.array(unit, odd))).withColumn("allowed_extensions", F.array(F.lit("part_of CL")))
-    flagged = rules.with_flags(rows, onto.reflexive_closure(), spark.createDataFrame([("GO:9", "P", [])], "id string, aspect string, subsets array<string>"))
-    got = rules.run(flagged, rules.standard_rules(), tags=["import"]).first()
-    assert [x.rule for x in got.results] == [58] and len(got.extensions) == 1
-    assert rules.run(flagged, rules.standard_rules()).first().results == []
+    rows = _rule_rows(spark).filter("row_id = 1").withColumn("extensions", F.array(F.array(unit), F.array(unit, odd)))
+    terms = spark.createDataFrame([("GO:9", "P", [])], "id string, aspect string, subsets array<string>")
+
+    def check(constraints, contexts=("import",)):
+        allowed = None
+        if constraints is not None:
+            made = spark.createDataFrame(constraints, "relation string, namespaces array<string>, primary_root_terms array<string>, cardinality int")
+            allowed = rules.constraint_closure(made, onto.reflexive_closure())
+        got = rules.run(rules.with_flags(rows, onto.reflexive_closure(), terms, constraints=allowed), rules.standard_rules(), contexts=contexts).first()
+        return [x.rule for x in got.results], len(got.extensions)
+
+    assert check([("part_of", ["CL"], ["GO:9"], None)]) == ([58], 1) and check([("part_of", ["CL"], ["GO:9"], None)], ()) == ([], 2)
+    assert check([("part_of", ["CL"], ["GO:9"], None), ("has", ["CL", "X"], ["GO:9"], 1)]) == ([], 2)
+    assert check([("part_of", ["CL"], ["GO:8"], None)]) == ([58], 0)  # of another term
+    assert check(None) == ([], 2)  # without constraints all pass
+
+
+def test_extension_cardinality(spark, onto):
+    unit = lambda t: F.struct(F.lit("part_of").alias("relation"), F.lit(t).alias("term"))
+    rows = _rule_rows(spark).filter("row_id = 1").withColumn("extensions", F.array(F.array(unit("CL:1"), unit("CL:2"))))
+    for most, want in ((1, 0), (2, 1), (None, 1)):
+        made = spark.createDataFrame([("part_of", ["CL"], ["GO:9"], most)], "relation string, namespaces array<string>, primary_root_terms array<string>, cardinality int")
+        flagged = rules.with_flags(rows, onto.reflexive_closure(), spark.createDataFrame([("GO:9", "P", [])], "id string, aspect string, subsets array<string>"), constraints=rules.constraint_closure(made, onto.reflexive_closure()))
+        assert len(rules.run(flagged, rules.standard_rules(), contexts=["import"]).first().extensions) == want
+
+
+def test_evidence_of_another_class(spark):
+    table = spark.createDataFrame([("IEA", None, "ECO:1"), ("IEA", "GO_REF:2", "ECO:2"), ("IEA", "GO_REF:3", "ECO:1")], "code string, ref string, cls string")
+    rows = spark.createDataFrame([(1, "IEA", ["GO_REF:2"]), (2, "IEA", ["GO_REF:3"]), (3, "IEA", []), (4, "IDA", ["GO_REF:2"]), (5, None, [])], "row_id long, evidence string, references array<string>")
+    assert {r.row_id: r.code for r in rules.with_code(rows, table).collect()} == {1: "", 2: "IEA", 3: "IEA", 4: "IDA", 5: ""}
 
 
 def test_repairs(spark):
