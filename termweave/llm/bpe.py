@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, text_batches, text_of
+from .common import map_batches, text_of
 
 CHUNK_CHARS, OVERLAP = 32_768, 1_024
 #: Pre-tokens whose ids a worker remembers; it then starts afresh.
@@ -89,7 +89,6 @@ def _map_column(df: DataFrame, at: str, out: T.StructField, change) -> DataFrame
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], change(batch.column(len(names)))], [*names, out.name])
 
-    text_batches(df.sparkSession)
     return map_batches(df.select(*names, at), run, T.StructType([*keep, out]))
 
 
@@ -124,7 +123,7 @@ def _encode_long(texts: DataFrame, path: str, pattern: str, chunk_chars: int, ov
     n = F.char_length("text")
     chunks = texts.select("sha", "text", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk_chars).cast("int"))).alias("no"))
     chunks = chunks.select("sha", "no", F.substring("text", F.col("no") * chunk_chars + 1, F.lit(chunk_chars + overlap)).alias("chunk"))
-    text_batches(texts.sparkSession)
+
     marks = _chunk_marks(chunks, path, pattern, chunk_chars, overlap)
     ahead = marks.select("sha", (F.col("no") + 1).alias("no"), "tail")
     met = marks.select("sha", "no", "head").join(ahead, ["sha", "no"]).select("sha", F.array_min(F.array_intersect("head", "tail")).alias("cut"))

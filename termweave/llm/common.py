@@ -1,10 +1,11 @@
-"""What the operators share: the shared scratch folder, staged tables and Arrow batch limits."""
+"""What the operators share: the shared scratch folder, staged tables and bounded Arrow batches. No session setting is changed."""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
 import ctypes
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -18,10 +19,11 @@ from pyspark.sql import types as T
 
 #: ASCII white space as the contracts define it: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
-#: Rows in an Arrow batch of whole texts; a batch of the longest texts must fit beside the JVM in an executor.
+#: Rows of whole texts that a worker turns into Python values at once. What a batch holds before is bounded by Spark's
+#: spark.sql.execution.arrow.maxBytesPerBatch (64 MB, or one row).
 TEXT_ROWS = 256
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,7 +31,9 @@ def ship(spark: SparkSession) -> None:
     context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
     if getattr(context, "_termweave_shipped", False) or not package.is_dir():
         return
-    made = Path(tempfile.mkdtemp(prefix="termweave-")).resolve() / "termweave_sources.zip"
+    folder = Path(tempfile.mkdtemp(prefix="termweave-")).resolve()  # the driver's own; executors fetch the file from it
+    atexit.register(shutil.rmtree, folder, True)
+    made = folder / "termweave_sources.zip"
     with zipfile.ZipFile(made, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
@@ -38,55 +42,79 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir. Only a local[...] session may lack it: then a temporary folder is set."""
+    """The shared folder of spark.checkpoint.dir. Only a local session may lack it: then a temporary folder is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="termweave-")
+        atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the scratch folder; removed when the driver's process ends in the ordinary way."""
+    """A new path in the scratch folder; removed by ``release`` or ``scratch_scope``, or when the driver's process ends in the ordinary way."""
     ship(spark)
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     if not _made:
-        atexit.register(_remove)
-    _made.append((spark, path))
+        atexit.register(_remove_all)
+    _made[path] = spark
     return path
 
 
-def _remove() -> None:
-    for spark, path in _made:
-        try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-            where = hadoop.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may have ended before
-            return
+def _remove(path: str) -> None:
+    spark = _made.pop(path, None)
+    if spark is not None:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        where = hadoop.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove_all() -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        for path in list(_made):
+            _remove(path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Written to the scratch folder and read again: lineage ends here, and any executor can read it."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes the files of staged tables that nothing reads any more."""
+    for t in tables:
+        _remove(getattr(t, "_staged_at", ""))
+
+
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes at its end what was staged in it, but for the tables that the function it gives was called with."""
+    before, kept = set(_made), set()
 
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._staged_at)
+        return df
 
-def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Small Arrow batches for this session, as the rows hold whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    yield keep
+    for path in [p for p in _made if p not in before and p not in kept]:
+        _remove(path)
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow; at its end a task gives freed memory back to the system, as workers are used again by later stages."""
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int | None = TEXT_ROWS) -> DataFrame:
+    """mapInArrow over slices of at most ``rows`` rows; at its end a task gives freed memory back to the system, as workers are
+    used again by later stages."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        parts = batches if rows is None else (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+        yield from run(parts)
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # other C libraries don't have it
             ctypes.CDLL(None).malloc_trim(0)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, text_batches
+from .common import map_batches
 
 UND = "und"
 BITS, ORDERS = 16, (1, 2, 3)
@@ -191,5 +191,4 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_o
                     lang[i] = model.langs[b]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score)], [*names, lang_out, score_out])
 
-    text_batches(docs.sparkSession)
     return map_batches(docs.select(*names, docs[text_col].cast("string")), run, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_batches, text_batches
+from .common import map_batches
 
 RATE, BLOCK = 8000, 64
 FRAME, HOP, PEAKS, FAN = 512, 256, 2, 2
@@ -112,7 +112,6 @@ def _mapped(df: DataFrame, schema: T.StructType, change) -> DataFrame:
         for batch in batches:
             yield change(batch)
 
-    text_batches(df.sparkSession)
     return map_batches(df, run, schema)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, text_batches
+from .common import map_batches
 
 #: Labelled documents that the classifier is fitted on, at most.
 MAX_FIT = 4_000
@@ -204,5 +204,4 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_ou
             got = scores(model, [x or "" for x in texts]) if texts else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(got, pa.float64())], [*names, score_out])
 
-    text_batches(docs.sparkSession)
     return map_batches(docs.select(*names, docs[text_col].cast("string").alias("__text")), run, schema)

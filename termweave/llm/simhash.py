@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, staged, text_batches
+from .common import map_batches, staged
 
 SEED, BITS = 42, 64
 #: Fingerprints of a run that one task compares at once, and shingles whose bits are counted at once.
@@ -88,7 +88,6 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4, out:
             got = [simhash(x, shingle) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(got, pa.int64())], [*names, out])
 
-    text_batches(docs.sparkSession)
     return map_batches(docs.select(*names, docs[text_col].cast("string").alias("__text")), run, T.StructType([*keep, T.StructField(out, T.LongType())]))
 
 

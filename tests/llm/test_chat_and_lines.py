@@ -104,3 +104,30 @@ def test_lines_empty_and_long(spark):
     got = {r.doc_id: r for r in lines.apply_bitmaps(docs, lines.keep_bitmaps(docs)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("k")).collect()}
     assert got[0].n_lines == 40_001 and got[0].n_dropped == 1 and got[0].k == hashlib.sha256(text[5:].encode()).hexdigest()
     assert got[3].n_dropped == 1
+
+
+#: Letters whose lower case older tables don't have, and a few others that only translate() may leave alone.
+CASED = "\U00010570\uA7C0\u2C2F\uA7D0\u1C89\u0130\u01C5\u03A3\u00C9\u212A"
+
+
+def test_ascii_lower_changes_nothing_else(spark):
+    texts = [*CASED, "ABC xyz", "É a", "\u00e9 A\u2014B", "Z\u4e2d", "", CASED + "Q"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", lines.ascii_lower(F.col("t")).alias("l")).collect()
+    assert {r.i: r.l for r in got} == {i: "".join(c.lower() if "A" <= c <= "Z" else c for c in t) for i, t in enumerate(texts)}
+    rows = [(10 * i + k, c if k == 0 else c.lower()) for i, c in enumerate(CASED) if c.lower() != c for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert lines.keep_bitmaps(docs, min_docs=2).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_lines_of_a_very_long_text(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(lines, "BROADCAST_BYTES", -1)
+    n = 1_000_000
+    text = "\n".join("Same" if i % 1_000 == 999 else f"line {i}" for i in range(n))
+    docs = spark.createDataFrame([(0, text), (1, "same\nother"), (2, "SAME"), (3, "line 5x"), (4, "\n".join(["same"] * 64))], "doc_id long, text string")
+    got = {r.doc_id: r for r in lines.apply_bitmaps(docs, lines.keep_bitmaps(docs, min_docs=3)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("k")).collect()}
+    want = hashlib.sha256("\n".join(x for x in text.split("\n") if x != "Same").encode()).hexdigest()
+    assert (got[0].n_lines, got[0].n_dropped, got[0].k) == (n, n // 1_000, want)
+    none = hashlib.sha256(b"").hexdigest()
+    assert [(r.doc_id, r.n_lines, r.n_dropped, r.k) for r in (got[i] for i in (1, 2, 3, 4))] == [(1, 2, 1, hashlib.sha256(b"other").hexdigest()), (2, 1, 1, none), (3, 1, 0, hashlib.sha256(b"line 5x").hexdigest()), (4, 64, 64, none)]

@@ -130,3 +130,32 @@ def test_search_small_and_ragged(spark):
     got = hnsw.nearest(hnsw.build_index(df), df.filter("id % 100 = 0")).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 2), (0, 2, 1), (100, 1, 200), (200, 1, 100)]
     assert hnsw.nearest(hnsw.build_index(df.limit(0)), df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("scale, offset", [(1e-25, 0.0), (1.0, 0.0), (1e25, 0.0), (1.0, 1e6), (1e-200, 0.0), (1e200, 0.0)])
+def test_search_at_any_magnitude(scale, offset):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(2_000, 16)) * scale + offset
+    pdf = hnsw.pd.DataFrame({"rep": range(2_000), "vector": list(vectors), "ids": [[i] for i in range(2_000)], "dim": 16, "shard": 0})
+    queries = hnsw.pd.DataFrame({"query_id": range(0, 2_000, 50), "vector": list(vectors[::50])})
+    got = hnsw._search_shard(hnsw._build_shard(pdf), queries, 10)
+    hits = 0
+    for q in range(0, 2_000, 50):
+        # measured in units, as squares of the values themselves would overflow or vanish
+        d = np.sqrt((((vectors - vectors[q]) / scale) ** 2).sum(axis=1))
+        d[q] = np.inf
+        mine = got[got.query_id == q]
+        hits += len(set(mine.vec_id) & set(np.argsort(d, kind="stable")[:10]))
+        assert np.allclose(mine.score.to_numpy() / scale, d[mine.vec_id.to_numpy()], rtol=1e-9) and mine.score.is_monotonic_increasing
+    assert hits / 400 >= 0.95
+
+
+def test_search_with_one_vector_far_outside():
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(1_500, 8))
+    vectors[7] *= 1e30  # in single precision, scaled to it, all others are one point
+    pdf = hnsw.pd.DataFrame({"rep": range(1_500), "vector": list(vectors), "ids": [[i] for i in range(1_500)], "dim": 8, "shard": 0})
+    index = hnsw._build_shard(pdf)
+    got = hnsw._search_shard(index, hnsw.pd.DataFrame({"query_id": range(0, 1_500, 50), "vector": list(vectors[::50])}), 10)
+    near = [np.argsort(np.where(np.arange(1_500) == q, np.inf, ((vectors - vectors[q]) ** 2).sum(axis=1)), kind="stable")[:10] for q in range(0, 1_500, 50)]
+    assert np.mean([len(set(got[got.query_id == q].vec_id) & set(n)) / 10 for q, n in zip(range(0, 1_500, 50), near)]) >= 0.95
