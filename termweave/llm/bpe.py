@@ -15,14 +15,15 @@ carried along; columns of the results' names are replaced.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,14 +32,15 @@ from .common import map_batches, text_of
 CHUNK_CHARS, OVERLAP = 32_768, 1_024
 #: Pre-tokens whose ids a worker remembers; it then starts afresh.
 REMEMBERED = 30_000
+#: Bytes of a rank file at most, as it is broadcast; parts of a long text in a batch.
+MOST_BYTES, PARTS_AT_ONCE = 64 << 20, 256
 
 
 class Codec:
     """Ranks and pattern of one vocabulary, in a worker."""
 
-    def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    def __init__(self, data: bytes, pattern: str):
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines())}
         self._piece = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self._split = regex.compile(pattern)
         tokens = [b""] * (max(ranks.values()) + 1)
@@ -75,9 +77,24 @@ class Codec:
         return self._bytes[shift + np.arange(len(shift))].tobytes()
 
 
-@lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+class Vocabulary:
+    """A rank file and a pattern, sent to the executors once; its size is checked, as it is broadcast."""
+
+    def __init__(self, spark: SparkSession, path: str, pattern: str):
+        data = Path(path).read_bytes()
+        if len(data) > MOST_BYTES:
+            raise ValueError(f"{path} has {len(data)} bytes; a vocabulary of {MOST_BYTES} at most is broadcast")
+        self.key, self.pattern, self.held = hashlib.sha256(data + pattern.encode()).hexdigest(), pattern, spark.sparkContext.broadcast(data)
+
+    def codec(self) -> Codec:
+        """The worker's codec, made once in a worker."""
+        if self.key not in _codecs:
+            _codecs.clear()
+            _codecs[self.key] = Codec(self.held.value, self.pattern)
+        return _codecs[self.key]
+
+
+_codecs: dict[str, Codec] = {}
 
 
 def _map_column(df: DataFrame, at: str, out: T.StructField, change) -> DataFrame:
@@ -92,15 +109,30 @@ def _map_column(df: DataFrame, at: str, out: T.StructField, change) -> DataFrame
     return map_batches(df.select(*names, at), run, T.StructType([*keep, out]))
 
 
-def _encoded(df: DataFrame, text_col: str, ids_col: str, path: str, pattern: str) -> DataFrame:
+def _encoded(df: DataFrame, text_col: str, ids_col: str, words: Vocabulary) -> DataFrame:
     def change(texts: pa.Array) -> pa.Array:
-        encode = codec(path, pattern).encode
+        encode = words.codec().encode
         return pa.array([np.array(encode(x) if x else [], dtype=np.int32) for x in texts.to_pylist()], pa.list_(pa.int32()))
 
     return _map_column(df, text_col, T.StructField(ids_col, T.ArrayType(T.IntegerType())), change)
 
 
-def _chunk_marks(chunks: DataFrame, path: str, pattern: str, chunk_chars: int, overlap: int) -> DataFrame:
+def _cut(texts: DataFrame, bounds, number: str, piece: str) -> DataFrame:
+    """sha, number, piece of texts (sha, text, ...): parts of each text between bounds(row) = [(start, end), ...], a batch of some at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                parts = bounds(row)
+                for i in range(0, len(parts), PARTS_AT_ONCE):
+                    some = parts[i : i + PARTS_AT_ONCE]
+                    cols = [row["sha"]] * len(some), range(i, i + len(some)), [row["text"][a:b] for a, b in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string()))], ["sha", number, piece])
+
+    return map_batches(texts, run, f"sha string, {number} int, {piece} string", 1)
+
+
+def _chunk_marks(chunks: DataFrame, words: Vocabulary, chunk_chars: int, overlap: int) -> DataFrame:
     """sha, no, head, tail: boundaries where white space begins, as offsets in the text, in a chunk's first and last overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +141,7 @@ def _chunk_marks(chunks: DataFrame, path: str, pattern: str, chunk_chars: int, o
             heads, tails = [], []
             for no, text in zip(cols["no"], cols["chunk"]):
                 # what the chunk's last two characters end may depend on what follows them
-                marks = [p for p in codec(path, pattern).boundaries(text) if 0 < p < len(text) - 1 and text[p].isspace() and not text[p - 1].isspace()]
+                marks = [p for p in words.codec().boundaries(text) if 0 < p < len(text) - 1 and text[p].isspace() and not text[p - 1].isspace()]
                 heads.append([no * chunk_chars + p for p in marks if p < overlap])
                 tails.append([no * chunk_chars + p for p in marks if p >= chunk_chars])
             kind = pa.list_(pa.int64())
@@ -118,40 +150,36 @@ def _chunk_marks(chunks: DataFrame, path: str, pattern: str, chunk_chars: int, o
     return map_batches(chunks, run, "sha string, no int, head array<long>, tail array<long>")
 
 
-def _encode_long(texts: DataFrame, path: str, pattern: str, chunk_chars: int, overlap: int) -> DataFrame:
+def _encode_long(texts: DataFrame, words: Vocabulary, chunk_chars: int, overlap: int) -> DataFrame:
     """sha, ids of texts (sha, text), which are distinct."""
-    n = F.char_length("text")
-    chunks = texts.select("sha", "text", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk_chars).cast("int"))).alias("no"))
-    chunks = chunks.select("sha", "no", F.substring("text", F.col("no") * chunk_chars + 1, F.lit(chunk_chars + overlap)).alias("chunk"))
-
-    marks = _chunk_marks(chunks, path, pattern, chunk_chars, overlap)
+    chunks = _cut(texts, lambda r: [(a, a + chunk_chars + overlap) for a in range(0, len(r["text"]), chunk_chars)], "no", "chunk")
+    marks = _chunk_marks(chunks, words, chunk_chars, overlap)
     ahead = marks.select("sha", (F.col("no") + 1).alias("no"), "tail")
     met = marks.select("sha", "no", "head").join(ahead, ["sha", "no"]).select("sha", F.array_min(F.array_intersect("head", "tail")).alias("cut"))
     cuts = met.groupBy("sha").agg(F.sort_array(F.collect_set("cut")).alias("cuts"))  # nulls stay out
-    bounds = texts.join(cuts, "sha", "left").withColumn("cuts", F.concat(F.array(F.lit(0).cast("long")), F.coalesce("cuts", F.array().cast("array<long>")), F.array(n.cast("long"))))
-    pieces = bounds.select("sha", "text", "cuts", F.explode(F.sequence(F.lit(0), F.size("cuts") - 2)).alias("k"))
-    start, end = F.get("cuts", F.col("k")), F.get("cuts", F.col("k") + 1)
-    pieces = pieces.select("sha", "k", F.substring("text", (start + 1).cast("int"), (end - start).cast("int")).alias("piece"))
-    ids = _encoded(pieces.repartition("sha", "k"), "piece", "ids", path, pattern)
+    pieces = _cut(texts.join(cuts, "sha", "left"), lambda r: list(zip([0, *(r["cuts"] or [])], [*(r["cuts"] or []), len(r["text"])])), "k", "piece")
+    ids = _encoded(pieces.repartition("sha", "k"), "piece", "ids", words)
     return ids.groupBy("sha").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x.ids)).alias("ids"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """docs without the text, with its token ids (array<int>), as if each match of pattern were encoded by itself."""
+    words = Vocabulary(docs.sparkSession, path, pattern)
     length = F.char_length(text_of(text_col))
     docs = docs.drop(*({ids_col} - {text_col}))
-    short = _encoded(docs.filter(length <= chunk_chars), text_col, ids_col, path, pattern)
+    short = _encoded(docs.filter(length <= chunk_chars), text_col, ids_col, words)
     long = docs.filter(length > chunk_chars).withColumn("__sha", F.sha2(F.col(text_col), 256))
-    found = _encode_long(long.select(F.col("__sha").alias("sha"), F.col(text_col).alias("text")).dropDuplicates(["sha"]), path, pattern, chunk_chars, overlap)
+    found = _encode_long(long.select(F.col("__sha").alias("sha"), F.col(text_col).alias("text")).dropDuplicates(["sha"]), words, chunk_chars, overlap)
     found = found.select(F.col("sha").alias("__sha"), F.col("ids").alias("__ids"))
     return short.unionByName(long.drop(text_col).join(found, "__sha").drop("__sha").withColumnRenamed("__ids", ids_col))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """df with the bytes that its ids stand for."""
+    words = Vocabulary(df.sparkSession, path, pattern)
 
     def change(ids: pa.Array) -> pa.Array:
-        values, read = ids.values.to_numpy(zero_copy_only=False), codec(path, pattern).decode
+        values, read = ids.values.to_numpy(zero_copy_only=False), words.codec().decode
         at = ids.offsets.to_numpy()
         return pa.array([read(values[a:b]) if ok else None for a, b, ok in zip(at[:-1], at[1:], ids.is_valid().to_pylist())], pa.binary())
 

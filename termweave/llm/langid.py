@@ -1,10 +1,12 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts come from a bounded sample of labelled texts (``per_lang`` of each language, chosen by a hash of id and text, one at
-least of every language), and the prior from all labelled texts, whatever the sample. They are broadcast sparsely; the matrix of log-probabilities, buckets by languages, is made for
-BLOCK_LANGS languages at once, so any number of them can be learned. Batches are scored sparsely: the n-grams of many texts are
-hashed in one array, counted per text and bucket, and multiplied with the matrix rows that occur. Whole texts count, in pieces,
-so memory does not follow the longest.
+Counts come from a bounded sample of labelled texts (about ``per_lang`` of each language, chosen by a hash of id and text, one
+at least of every language) and are taken on the executors: a row for each language and bucket reaches the driver, never a
+text. The prior is of all labelled texts, whatever the sample. Counts are broadcast sparsely, at most 2 to the BITS cells of
+12 bytes a language; the matrix of log-probabilities, buckets by languages, is made for BLOCK_LANGS languages at once, so
+any number of them can be learned. Batches are scored sparsely: the n-grams of many texts are hashed in one array, counted
+per text and bucket, and multiplied with the matrix rows that occur. Whole texts count, in pieces, so memory does not follow
+the longest.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without any labelled text every text is
 ``und``; equally likely languages resolve to the one first by code point; an empty table gives an empty result. Extra columns
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +29,8 @@ from .common import map_batches
 
 UND = "und"
 BITS, ORDERS = 16, (1, 2, 3)
-#: Labelled texts of each language, and of all, that the counts are taken from.
-PER_LANG, MAX_FIT = 800, 16_000
+#: Labelled texts of each language that the counts are taken from, as expected; repeated rows are taken together.
+PER_LANG = 2_000
 #: Languages whose matrix of log-probabilities is made at once.
 BLOCK_LANGS = 64
 #: Code points hashed at once.
@@ -55,9 +57,10 @@ class Model:
         at = slice(*np.searchsorted(self.cells, [a << self.bits, b << self.bits]))
         cells, n = self.cells[at], self.counts[at]
         lang = (cells >> self.bits) - a
-        out = np.full((1 << self.bits, b - a), np.log(self.smooth))
-        out[cells & ((1 << self.bits) - 1), lang] = np.log(n + self.smooth)
-        out -= np.log(np.bincount(lang, n, b - a) + self.smooth * (1 << self.bits))
+        total = np.log(np.bincount(lang, n, b - a) + self.smooth * (1 << self.bits))
+        out = np.empty((1 << self.bits, b - a), dtype=np.float32)  # sums over a text's n-grams are taken in double precision
+        out[:] = np.log(self.smooth) - total
+        out[cells & ((1 << self.bits) - 1), lang] = np.log(n + self.smooth) - total[lang]
         if b - a == len(self.langs):
             self._held = out
         return out
@@ -114,24 +117,30 @@ def _pieces(texts: list[str], context: int, size: int | None = None) -> Iterator
         yield np.concatenate(codes), np.concatenate(owner), lead
 
 
-def fit(texts: list[str], langs: list[str], bits: int = BITS, orders: tuple[int, ...] = ORDERS, smooth: float = 0.5, totals: dict[str, int] | None = None) -> Model:
-    """The prior follows totals, the texts of each language, or those given."""
-    names = sorted(set(langs))
-    number = {x: i for i, x in enumerate(names)}
-    at = np.array([number[x] for x in langs], dtype=np.int64)
-    cells, found = [], []
-    by_lang = np.argsort(at, kind="stable")
-    for a in range(0, len(names), BLOCK_LANGS):
-        mine = by_lang[slice(*np.searchsorted(at[by_lang], [a, a + BLOCK_LANGS]))]
-        counts = np.zeros(min(BLOCK_LANGS, len(names) - a) << bits)
-        for codes, owner, lead in _pieces([texts[i] for i in mine], max(orders) - 1):
-            for bucket, own in _buckets(codes, owner, bits, orders, lead):
-                np.add.at(counts, (at[mine][own] - a) * (1 << bits) + bucket, 1)
-        cells.append(np.flatnonzero(counts) + (a << bits))
-        found.append(counts[counts > 0])
-    texts_of = np.bincount(at, minlength=len(names)) if totals is None else np.array([totals[x] for x in names])
-    prior = np.log(texts_of / max(1, texts_of.sum()))
-    return Model(names, np.concatenate(cells), np.concatenate(found), prior, bits, orders, smooth)
+def model_of(cells: np.ndarray, counts: np.ndarray, totals: dict[str, int], bits: int = BITS, orders: tuple[int, ...] = ORDERS, smooth: float = 0.5) -> Model:
+    """cells are number of the language, by code point, << bits | bucket; the prior follows totals, the texts of each language."""
+    names, by = sorted(totals), np.argsort(cells)
+    texts_of = np.array([totals[x] for x in names], dtype=np.float64)
+    return Model(names, cells[by], counts[by].astype(np.float32), np.log(texts_of / max(1.0, texts_of.sum())), bits, orders, smooth)
+
+
+def count(texts: list[str], bits: int = BITS, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
+    """How often each bucket occurs in the texts."""
+    out = np.zeros(1 << bits, dtype=np.int64)
+    for codes, owner, lead in _pieces(texts, max(orders) - 1):
+        for bucket, _ in _buckets(codes, owner, bits, orders, lead):
+            out += np.bincount(bucket, minlength=1 << bits)
+    return out
+
+
+def fit(texts: list[str], langs: list[str]) -> Model:
+    """The model of texts at hand."""
+    names, cells, counts = sorted(set(langs)), [], []
+    for i, name in enumerate(names):
+        n = count([t for t, x in zip(texts, langs) if x == name])
+        cells.append(np.flatnonzero(n) + (i << BITS))
+        counts.append(n[n > 0])
+    return model_of(np.concatenate(cells), np.concatenate(counts), {x: langs.count(x) for x in names})
 
 
 def log_likelihoods(model: Model, texts: list[str], piece: int | None = None) -> np.ndarray:
@@ -151,22 +160,40 @@ def log_likelihoods(model: Model, texts: list[str], piece: int | None = None) ->
     return out
 
 
-def fit_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_fit: int = MAX_FIT) -> Model | None:
-    """The model of at most per_lang texts of each language and max_fit in all, but one of every language; rows without text or language don't count."""
+def fit_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model | None:
+    """The model of about per_lang texts of each language, one at least; rows without text or language don't count."""
+    spark = docs.sparkSession
     able = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
-    order = F.xxhash64("id", F.xxhash64("text"), F.lit("langid"))
-    low = F.pmod(order, F.lit(1 << 30))
-    per = able.groupBy("lang").agg(F.count("*").alias("n"), F.min(low).alias("least")).collect()
+    low = F.pmod(F.xxhash64("id", F.xxhash64("text"), F.lit("langid")), F.lit(1 << 30))
+    per = able.groupBy("lang").agg(F.count("*").alias("n"), F.min(low).alias("least")).collect()  # a row for each language
     if not per:
         return None
-    # of a frequent language only hashes up to a share that leaves enough rows are ranked, its least among them
-    upto = docs.sparkSession.createDataFrame([(r.lang, max(r.least, int(min(1.0, (1.5 * per_lang + 100) / r.n) * (1 << 30)))) for r in per], "lang string, upto long")
-    few = able.join(F.broadcast(upto), "lang").filter(low <= F.col("upto")).select("id", "lang", F.xxhash64("text").alias("t"), order.alias("h"))
-    picked = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "t"))).filter(F.col("k") <= per_lang)
-    picked = picked.orderBy("k", "lang").limit(max(max_fit, len(per))).select(F.col("id").alias("i"), F.col("lang").alias("l"), "t").distinct()
-    found = able.join(F.broadcast(picked), F.col("id").eqNullSafe(F.col("i")) & (F.col("lang") == F.col("l")) & (F.xxhash64("text") == F.col("t"))).dropDuplicates(["id", "lang", "t"])
-    rows = sorted(found.select("id", "lang", "text").collect(), key=lambda r: (r.id is None, r.id, r.lang, r.text))
-    return fit([r.text for r in rows], [r.lang for r in rows], totals={r.lang: r.n for r in per}) if rows else None
+    number = {x: i for i, x in enumerate(sorted(r.lang for r in per))}
+    upto = spark.createDataFrame([(r.lang, number[r.lang], max(r.least, int(min(1.0, per_lang / r.n) * (1 << 30)))) for r in per], "lang string, no int, upto long")
+    few = able.join(F.broadcast(upto), "lang").filter(low <= F.col("upto")).select("no", "text")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (no, bucket, n); of BLOCK_LANGS languages at a time."""
+        held: dict[int, np.ndarray] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for i, n in held.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["no", "bucket", "n"])
+            held.clear()
+
+        for batch in batches:
+            of, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for i in np.unique(of).tolist():
+                n = count([texts[k] for k in np.flatnonzero(of == i)])
+                held[i] = held[i] + n if i in held else n
+                if len(held) >= BLOCK_LANGS:
+                    yield from rows()
+        yield from rows()
+
+    cells = map_batches(few, counted, "no int, bucket int, n long").groupBy("no", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    no, bucket, n = (cells.column(c).to_numpy() for c in ("no", "bucket", "n"))
+    return model_of((no.astype(np.int64) << BITS) | bucket, n, {r.lang: r.n for r in per})
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:

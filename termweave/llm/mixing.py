@@ -8,8 +8,9 @@ source are passed from large to small and the rounding error in words is carried
 its smallest sizes of its target; which documents of one size get the extra copy is settled by a hash of the id.
 
 Defined results: null texts have size 0; null sources are one source, ordered last; a document of size 0 has rate 1 and
-takes 0 words; an empty table gives an empty result; repeated rows are separate documents with the same id, and which of
-them takes the extra copy cannot be told apart. Extra columns are carried along; columns of the result's names are replaced.
+takes 0 words; an empty table gives an empty result; repeated rows are separate documents with the same id; which of
+documents with equal ids and sizes takes the extra copy is settled by a hash of the text, so only rows equal in both cannot be
+told apart; a very long text is a size like any other. Extra columns are carried along; columns of the result's names are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import release, staged, text_of
 
 #: Buckets by hash inside a (source, size) group, so that a large group is ranked by many tasks.
 SALTS = 256
@@ -36,17 +37,27 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), budge
     """source, source_size, target: sources by code point, null last, weigh as the cycle of weights says and share budget times all
     sizes; none gets over limit times its size, and the excess goes to the others by weight. One row for each source."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    # numbered by a range sort and the counts of its partitions, so no task sees all sources
+    ranged = per.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    ranged = staged(ranged.withColumn("p", F.spark_partition_id()), "mix-sources")
+    before, firsts = 0, []
+    for r in ranged.groupBy("p").count().orderBy("p").collect():  # a row for each partition
+        firsts.append((r.p, before))
+        before += r["count"]
+    firsts = sizes.sparkSession.createDataFrame(firsts, "p int, first long")
     cycle = F.array(*(F.lit(float(w)) for w in weights))
-    per = per.withColumn("k", F.row_number().over(order) - 1).withColumn("w", F.get(cycle, F.col("k") % len(weights))).withColumn("cap", limit * F.col("source_size"))
-    # water filling: by cap per weight, a source is stopped if an equal share of what is left would exceed its cap
-    rising = Window.orderBy(F.col("cap") / F.col("w"), "k")
-    before, after = rising.rowsBetween(Window.unboundedPreceding, -1), rising.rowsBetween(0, Window.unboundedFollowing)
-    left = budget * F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    level = left / F.sum("w").over(after)
-    per = per.withColumn("level", level).withColumn("open", F.col("level") * F.col("w") < F.col("cap"))
-    per = per.withColumn("level", F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(Window.orderBy(F.col("cap") / F.col("w"), "k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return per.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))).alias("target"))
+    k = F.col("first") + F.row_number().over(Window.partitionBy("p").orderBy(F.col("source").asc_nulls_last())) - 1
+    per = staged(ranged.join(F.broadcast(firsts), "p").select("source", "source_size", F.get(cycle, k % len(weights)).alias("w"), (limit * F.col("source_size")).alias("cap")), "mix-weights")
+    # the level that a weight of 1 gets: it rises as sources are stopped at their cap, until none more is
+    whole, stopped, level = budget * (per.agg(F.sum("source_size")).first()[0] or 0), -1, 0.0
+    while True:
+        at = F.col("cap") <= F.lit(level) * F.col("w")
+        got = per.agg(F.count_if(at).alias("n"), F.sum(F.when(at, F.col("cap"))).alias("capped"), F.sum(F.when(~at, F.col("w"))).alias("open")).first()
+        if got.n == stopped or not got.open:
+            break
+        stopped, level = got.n, (whole - (got.capped or 0.0)) / got.open
+    share = F.col("cap") if not got.open else F.least("cap", F.lit(level) * F.col("w"))
+    return per.select("source", "source_size", share.cast("double").alias("target"))
 
 
 def tilts(histogram: DataFrame, targets: DataFrame, limit: float = 2.0) -> DataFrame:
@@ -81,7 +92,8 @@ def tilts(histogram: DataFrame, targets: DataFrame, limit: float = 2.0) -> DataF
         inside = (step > F.col("lo")) & (step < F.col("hi"))
         nxt = nxt.withColumn("done", F.col("done") | F.coalesce(F.abs(F.col("f")) <= TOLERANCE * F.greatest(F.col("target"), F.lit(1.0)), F.lit(False)))
         nxt = nxt.withColumn("lam", F.when(F.col("done"), F.col("lam")).when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2))
-        state = staged(nxt.select(state.columns), "mix-state")
+        before, state = state, staged(nxt.select(state.columns), "mix-state")
+        release(before)
         if state.filter(~F.col("done")).limit(1).count() == 0:
             break
     return state.select("source", "mean", F.when(~F.col("full"), F.col("lam")).alias("lam"))
@@ -105,7 +117,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """docs with size, source_size, target and copies (0 to limit): how often each document is taken."""
     own = ("size", "source_size", "target", "copies")
     keep = [c for c in docs.columns if c not in own]
-    rows = docs.select(*keep, F.col(source_col).cast("string").alias("__s"), word_count(text_col).alias("__z"), F.xxhash64(F.col(id_col), F.lit("mix")).alias("__h"))
+    rows = docs.select(*keep, F.col(source_col).cast("string").alias("__s"), word_count(text_col).alias("__z"), F.xxhash64(F.col(id_col), F.lit("mix")).alias("__h"), F.xxhash64(text_of(text_col)).alias("__th"))
     rows = rows.withColumn("__salt", F.pmod("__h", F.lit(SALTS)).cast("int"))
     salted = staged(rows.groupBy(F.col("__s").alias("source"), F.col("__z").alias("size"), F.col("__salt").alias("salt")).agg(F.count("*").alias("m")), "mix-groups")
     histogram = salted.groupBy("source", "size").agg(F.sum("m").alias("n"))
@@ -122,7 +134,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     buckets = buckets.join(targets.select(F.col("source").alias("t"), "source_size", "target"), F.col("source").eqNullSafe(F.col("t")))
     buckets = staged(buckets.select(F.col("source").alias("__bs"), F.col("size").alias("__bz"), F.col("salt").alias("__bsalt"), "offset", "n", "total", "source_size", "target"), "mix-buckets")
     buckets = buckets.select("__bs", "__bz", "__bsalt", *(F.col(c).alias(f"__b_{c}") for c in ("offset", "n", "total", "source_size", "target")))
-    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__s", "__z", "__salt").orderBy("__h", id_col)) - 1)
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__s", "__z", "__salt").orderBy("__h", id_col, "__th")) - 1)
     out = ranked.join(buckets, F.col("__s").eqNullSafe(F.col("__bs")) & (F.col("__z") == F.col("__bz")) & (F.col("__salt") == F.col("__bsalt")))
     extra = F.expr("__b_total div __b_n") + (F.col("__b_offset") + F.col("__rank") < F.expr("__b_total % __b_n")).cast("long")
     return out.select(*keep, F.col("__z").alias("size"), F.col("__b_source_size").alias("source_size"), F.col("__b_target").alias("target"), extra.cast("int").alias("copies"))

@@ -2,10 +2,12 @@
 
 Words are runs of letters, of digits and of other marks, with a shape; each has a sparse random index vector drawn from a
 hash of its name, and a word's vector is the sum of the index vectors of its neighbours in the sample. A document is the
-mean of its words' context vectors beside the mean of their index vectors and a few shares of shapes and
-repeats. Vectors and network
-are fitted on the driver on a bounded sample of labelled documents (``max_fit``, chosen by a hash of the id); a tenth of it
-sets the temperature that calibrates the probabilities. The fitted tables are broadcast: at most ``MAX_WORDS`` rows.
+mean of its words' context vectors beside the mean of their index vectors and a few shares of shapes and repeats. Words
+beyond the ``MAX_WORDS`` most widespread of the sample, or in fewer than ``LEAST_DOCS`` documents of it, share the vectors of
+RARE classes by hash for each shape: about a fifth of all words, which thus still count, but less apart. Vectors and network
+are fitted on the driver on a bounded sample of labelled documents (``max_fit`` of them and ``max_bytes`` of text, chosen by a
+hash of the id); a tenth of it sets the temperature that calibrates the probabilities. The fitted tables are broadcast: at
+most ``MAX_WORDS`` rows. Scores are taken from whole texts, in blocks.
 
 Defined results: a null text is an empty one, which has a score like any other; labels other than 0 and 1 are left out, a
 document labelled both ways counts by its mean (0.5 and over: 1); with no usable label every score is 1, so nothing is
@@ -29,10 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches
+from .common import map_batches, release, staged
 
 #: Labelled documents that the classifier is fitted on, at most.
 MAX_FIT = 4_000
+#: Bytes of their texts, at most; a longer text is left out of the fit, and the next by hash is looked at.
+MAX_BYTES = 64 << 20
+#: Classes by hash that rarer words of a shape share, and documents of the sample that a word of its own is in.
+RARE, LEAST_DOCS = 512, 3
 MAX_WORDS, DIM, NONZERO, WINDOW, HIDDEN = 20_000, 64, 6, 2, 24
 FAR = 4.0
 #: Words of a text that are held at once.
@@ -65,10 +71,14 @@ class Model:
     constant: float | None = None
 
 
+def _rare(word: str) -> int:
+    return shape(word) * RARE + zlib.crc32(word.encode("utf-8", "surrogatepass")) % RARE
+
+
 def _ids(words: dict[str, int], found: list[str]) -> list[int]:
-    """Known words by number, others by shape; the shape classes come first."""
+    """Known words by number, others by shape and hash; the rare classes come first."""
     get = words.get
-    return [i if (i := get(w)) is not None else shape(w) for w in found]
+    return [i if (i := get(w)) is not None else _rare(w) for w in found]
 
 
 def _word_blocks(text: str, block: int) -> Iterator[list[str]]:
@@ -142,9 +152,10 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
         return Model({}, np.zeros((1, 1), np.float32), np.zeros(1), np.ones(1), (), 1.0, float(labels[0]))
     found = [_word.findall(x) for x in texts]
     spread = Counter(w for ws in found for w in set(ws))
-    names = sorted((w for w, n in spread.items() if n >= 3), key=lambda w: (-spread[w], w))[: MAX_WORDS - len(SHAPES)]
-    words = {w: i + len(SHAPES) for i, w in enumerate(names)}
-    index = np.array([index_vector(f"shape {s}") for s in SHAPES] + [index_vector(w) for w in names])
+    rare = [f"rare {shape} {k}" for shape in SHAPES for k in range(RARE)]
+    names = sorted((w for w, n in spread.items() if n >= LEAST_DOCS), key=lambda w: (-spread[w], w))[: MAX_WORDS - len(rare)]
+    words = {w: i + len(rare) for i, w in enumerate(names)}
+    index = np.array([index_vector(w) for w in (*rare, *names)])
     docs = [np.array(_ids(words, x), dtype=np.int64) for x in found]
     context = np.zeros_like(index)
     seen = np.zeros(len(index), dtype=np.float32)
@@ -156,7 +167,7 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
         seen += np.bincount(ids, minlength=len(index))
     context /= np.maximum(seen, 1)[:, None]
     shapes = np.zeros((len(index), len(SHAPES)), dtype=np.float32)
-    shapes[np.arange(len(index)), [*range(len(SHAPES)), *map(shape, names)]] = 1
+    shapes[np.arange(len(index)), [*np.repeat(np.arange(len(SHAPES)), RARE), *map(shape, names)]] = 1
     table = np.hstack([context, index, shapes]).astype(np.float32)
     x = np.array([_pooled(table, words, x) for x in texts], dtype=np.float64)
     y = np.array(labels, dtype=np.float64)
@@ -179,14 +190,25 @@ def scores(model: Model | None, texts: list[str]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_forward(model.layers, _standard(x, model.mean, model.scale)) / model.temperature, -30, 30)))
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_fit: int = MAX_FIT) -> Model | None:
-    """The model of at most max_fit labelled documents; labels holds those that may be learned from. Documents with one id are told apart by text."""
+def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_fit: int = MAX_FIT, max_bytes: int = MAX_BYTES) -> Model | None:
+    """The model of at most max_fit labelled documents and max_bytes of their texts; labels holds those that may be learned from.
+    Of documents with one id the least text counts."""
     able = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1))
     able = able.groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     picked = able.orderBy(F.xxhash64("id", F.lit("quality")), "id").limit(max_fit).select(F.col("id").alias("i"), "y")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(picked), F.col("id") == F.col("i")).groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
-    rows = sorted(found.collect(), key=lambda r: r.id)
+    found = staged(found, "quality-sample")
+    sizes = found.select("id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("id", F.lit("quality")), "id").collect()  # max_fit rows
+    left, small = max_bytes, []
+    for r in sizes:
+        if r.n <= left:
+            left -= r.n
+            small.append(r.id)
+    whole = len(small) == len(sizes)
+    rows = (found if whole else found.filter(F.col("id").isin(*small))).collect() if small else []
+    release(found)
+    rows.sort(key=lambda r: r.id)
     return fit([r.text for r in rows], [r.y for r in rows])
 
 

@@ -95,14 +95,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write(warc.with_revisits(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=100), path)
     number = lambda c: F.nullif(F.regexp_extract(c, "page:(-?[0-9]+)", 1), F.lit("")).cast("long")
-    found = warc.read(spark, path)
-    return found.select(
-        number("record_id").alias("page_id"),
-        F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_length")).alias("payload_bytes"),
-        F.coalesce(F.sha2("payload", 256), F.expr("substring(payload_digest, 8)")).alias("payload_digest"),
-        F.col("warc_type").alias("record_type"),
-        number("refers_to").alias("refers_to"),
-    )
+    found = warc.resolved(warc.read(spark, path))
+    return found.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", F.col("warc_type").alias("record_type"), number("refers_to").alias("refers_to"))
 
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

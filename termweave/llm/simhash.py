@@ -3,14 +3,16 @@
 Fingerprints within ``distance`` of each other differ by at most one bit in one of distance // 2 + 1 segments. Each distinct
 fingerprint is indexed under every segment with every single bit of it left out, so linked ones share a key. The equality
 join on that key is a sort-merge pass: keys are dealt by hash and sorted, and each run of equal keys is verified by XOR and
-bit counts and left as a spanning forest of its links, never as pairs. A run of more than ``RUN`` fingerprints is taken
-out, cut into blocks, and compared block by block in separate tasks, which leave forests too. Exact copies are one
-fingerprint from the start. Components of the forests come from large-star/small-star rounds on checkpointed tables.
+bit counts and left as a spanning forest of its links, never as pairs. The members of a run of more than ``RUN`` are indexed
+again, by segments of the bits that the key leaves free, for which the same holds; so a run costs a row for each free bit of
+each member, and not the square of its size. With LAST_BITS free bits or fewer a run has RUN members at most. Exact copies
+are one fingerprint from the start. Components of the forests come from large-star/small-star rounds on written tables.
 
 Defined results: null and empty texts and texts of white space have fingerprint zero and link like any other; fewer words
 than a shingle needs make one shingle of all; repeated rows and repeated ids stay separate rows; a component of rows with
-null ids only has a null id; an empty table gives an empty result. Extra columns are carried along by ``fingerprints``;
-columns of the results' names are replaced.
+null ids only has a null id; very long texts are taken in blocks; ties between rows of one id go to the least
+text hash, then the least other columns; an empty table gives an empty result. Extra columns are carried along by
+``fingerprints``; columns of the results' names are replaced.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, staged
+from .common import map_batches, release, staged
 
 SEED, BITS = 42, 64
 #: Fingerprints of a run that one task compares at once, and shingles whose bits are counted at once.
 RUN, SHINGLES_AT_ONCE = 2_048, 1 << 16
+#: Free bits whose values are compared directly: two to this power are RUN.
+LAST_BITS = 11
 #: Bytes of a text whose words are held at once.
 BLOCK_BYTES = 4 << 20
 #: Links that a task gathers before it reduces them to a forest.
@@ -91,23 +95,38 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4, out:
     return map_batches(docs.select(*names, docs[text_col].cast("string").alias("__text")), run, T.StructType([*keep, T.StructField(out, T.LongType())]))
 
 
-def segments(distance: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of the fewest segments of which one must differ by at most one bit."""
-    n = distance // 2 + 1
-    cuts = [BITS * i // n for i in range(n + 1)]
-    return list(zip(cuts, np.diff(cuts).tolist()))
+def segments(distance: int, free: int = (1 << BITS) - 1) -> list[list[int]]:
+    """The bits of ``free`` in the fewest segments of which one must differ by at most one bit."""
+    bits, n = [i for i in range(BITS) if free >> i & 1], distance // 2 + 1
+    cuts = [len(bits) * i // n for i in range(n + 1)]
+    return [bits[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def _variant_keys(fps: np.ndarray, distance: int) -> np.ndarray:
-    """One column for each segment and bit left out: its number in the top byte over the segment's other bits."""
+_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for m in (_M1, _M2):
+        x = (x ^ (x >> np.uint64(33))) * m
+    return x ^ (x >> np.uint64(33))
+
+
+def _variants(fps: np.ndarray, distance: int, free: int, salt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, free bits left), one column for each segment of the free bits and bit of it left out.
+
+    A key is a hash of what it stands for and, in a run, of the run's key (salt); links are verified, so equal hashes of
+    different values only cost time.
+    """
     x = fps.view(np.uint64)
-    keys, number = [], 0
-    for first, bits in segments(distance):
-        part = (x >> np.uint64(first)) & np.uint64((1 << bits) - 1)
-        for bit in range(bits):
-            keys.append((part & ~np.uint64(1 << bit)) ^ (np.uint64(number) << np.uint64(56)))
-            number += 1
-    return np.stack(keys, axis=1).view(np.int64)
+    base = np.zeros(len(x), dtype=np.uint64) if salt is None else _mixed(salt.view(np.uint64))
+    keys, left = [], []
+    for bits in segments(distance, free):
+        mask = sum(1 << i for i in bits)
+        for bit in bits:
+            pinned = mask & ~(1 << bit)
+            keys.append(_mixed((x & np.uint64(pinned)) ^ _mixed(base + np.uint64(pinned) + np.uint64(bit + 1))))
+            left.append(free & ~pinned)
+    return np.stack(keys, axis=1).view(np.int64), np.array(left, dtype=np.uint64).view(np.int64)
 
 
 def _bit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -164,23 +183,26 @@ class _Gathered:
         return a, b
 
 
-def _runs(batches: Iterator[pa.RecordBatch], distance: int, run: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key -> rows (a, b, key, n): links, and with null a and b the keys of longer runs, with their counts."""
+def _runs(batches: Iterator[pa.RecordBatch], distance: int, run: int, last: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, free) sorted by key and free -> rows (a, b, key, free): links, and with null a and b the longer runs."""
     links, large = _Gathered(), []
     held_key, held, held_n = None, [], 0  # the run that may go on in the next batch
 
+    def compare(part: np.ndarray) -> None:
+        if len(part) > 1:
+            links.add(*_links_within(part, part, distance))
+
     def close() -> None:
-        if held_n > run:
-            large.append((held_key, held_n))
-        elif held_n > 1:
-            x = np.concatenate(held)
-            links.add(*_links_within(x, x, distance))
+        if held_n > run and held_key[1].bit_count() > last:
+            large.append(held_key)
+        elif held_n:
+            compare(np.concatenate(held))
 
     for batch in batches:
-        keys, fps = (batch.column(i).to_numpy() for i in (0, 1))
+        keys, fps, free = (batch.column(i).to_numpy() for i in range(3))
         if not len(keys):
             continue
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+        cuts = np.concatenate([[0], np.flatnonzero((np.diff(keys) != 0) | (np.diff(free) != 0)) + 1, [len(keys)]])
         lengths = np.diff(cuts)
         # inner runs of two at once; longer ones, and those at the ends, one by one
         pairs = cuts[:-1][lengths == 2]
@@ -190,57 +212,55 @@ def _runs(batches: Iterator[pa.RecordBatch], distance: int, run: int) -> Iterato
         links.add(a[ok], b[ok])
         ends = {0, len(lengths) - 1}
         for i in [0, *(j for j in np.flatnonzero(lengths > 2).tolist() if j not in ends), *({len(lengths) - 1} - {0})]:
-            part, key = fps[cuts[i] : cuts[i + 1]], int(keys[cuts[i]])
+            part, key = fps[cuts[i] : cuts[i + 1]], (int(keys[cuts[i]]), int(free[cuts[i]]) & (1 << BITS) - 1)
             if i in ends:
                 if key != held_key:
                     close()
                     held_key, held, held_n = key, [], 0
                 held_n += len(part)
-                held = [*held, part] if held_n <= run else []
-            elif len(part) > run:
-                large.append((key, len(part)))
+                held = [*held, part] if held_n <= run or key[1].bit_count() <= last else []
+            elif len(part) > run and key[1].bit_count() > last:
+                large.append(key)
             else:
-                links.add(*_links_within(part, part, distance))
+                compare(part)
     close()
     a, b = links.reduce()
     n = len(large)
     cols = [np.concatenate([a, np.zeros(n, np.int64)]), np.concatenate([b, np.zeros(n, np.int64)])]
     mask = np.arange(len(a) + n) >= len(a)
-    rest = [pa.array([None] * len(a) + [x[i] for x in large], pa.int64()) for i in (0, 1)]
-    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64(), mask=mask) for c in cols), *rest], ["a", "b", "key", "n"])
+    signed = lambda v: v - (1 << BITS) if v >> (BITS - 1) else v
+    rest = [pa.array([None] * len(a) + xs, pa.int64()) for xs in ([k for k, _ in large], [signed(f) for _, f in large])]
+    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64(), mask=mask) for c in cols), *rest], ["a", "b", "key", "free"])
 
 
 def near_links(distinct: DataFrame, distance: int = 4, run: int = RUN) -> DataFrame:
     """a, b: links that connect exactly what the links within distance connect. distinct has one long column fp without repeats."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (fp) or, of large runs, (fp, free, key) -> rows (key, fp, free)."""
         for batch in batches:
             fps = batch.column(0).to_numpy()
-            for i in range(0, len(fps), 8_192):
-                part = fps[i : i + 8_192]
-                keys = _variant_keys(part, distance)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part, keys.shape[1]))], ["key", "fp"])
-
-    spark = distinct.sparkSession
-    text_batches(spark, 10_000)
-    variants = map_batches(distinct.select("fp"), index, "key long, fp long")
-    found = staged(map_batches(variants.repartition("key").sortWithinPartitions("key"), lambda x: _runs(x, distance, run), "a long, b long, key long, n long"), "simhash-links")
-    links = found.filter("a is not null").select("a", "b")
-    large = found.filter("a is null").select("key", "n")
-    if large.limit(1).count() == 0:
-        return links
-    # blocks of the large runs, every two of a run in a task; each pair is a group of its own
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / max(1, run // 2))).cast("int")
-    held = variants.join(large.withColumn("blocks", blocks), "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    dealt = held.select("key", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "fp")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = (pdf.fp[pdf.block == pdf[side].iloc[0]].to_numpy() for side in ("x", "y"))
-        a, b = _links_within(x, y, distance)
-        return pd.DataFrame({"a": a, "b": b})
-
-    return links.unionByName(dealt.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long"))
+            free = batch.column(1).to_numpy() if batch.num_columns > 1 else np.full(len(fps), -1, dtype=np.int64)
+            for f in np.unique(free):
+                at = np.flatnonzero(free == f)
+                for i in range(0, len(at), 8_192):
+                    part = fps[at[i : i + 8_192]]
+                    salt = batch.column(2).to_numpy()[at[i : i + 8_192]] if batch.num_columns > 2 else None
+                    keys, left = _variants(part, distance, int(f) & (1 << BITS) - 1, salt)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part, keys.shape[1])), pa.array(np.tile(left, len(part)))], ["key", "fp", "free"])
+
+    kind, last = "key long, fp long, free long", max(LAST_BITS, 2 * (distance // 2 + 1))  # with more free bits, every segment pins some
+    rows, links = map_batches(distinct.select("fp"), index, kind, None), None
+    while True:
+        found = staged(map_batches(rows.repartition("key").sortWithinPartitions("key", "free"), lambda x: _runs(x, distance, run, last), "a long, b long, key long, free long", None), "simhash-links")
+        mine = found.filter("a is not null").select("a", "b")
+        links = mine if links is None else links.unionByName(mine)
+        large = found.filter("a is null").select("key", "free").distinct()
+        if large.limit(1).count() == 0:
+            return links
+        # their members again, by the bits that the run leaves free: fewer with every round
+        members = rows.join(large, ["key", "free"]).select("fp", "free", "key")
+        rows = staged(map_batches(members, index, kind, None), "simhash-runs")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -253,12 +273,15 @@ def components(links: DataFrame) -> DataFrame:
         # written first, so that the joins below shuffle both sides and a node with very many links can be split
         least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "component-least")
         # large star: each larger neighbour to the least one
+        before = now
         now = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         now = staged(now, "component-links")
+        release(before, least)
         # small star: each smaller neighbour, and the node itself, to the least one
         down = staged(now.groupBy("a").agg(F.min("b").alias("m")), "component-least")
-        met = now.join(down, "a")
+        met, before = now.join(down, "a"), now
         now = staged(met.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionAll(down.select("a", F.col("m").alias("b"))).distinct(), "component-links")
+        release(before, down)
         at = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == at:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -278,12 +301,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
-    """docs with one row of each component: that of the least id (null last), then of the least text hash, then the least row."""
+    """docs with one row of each component: that of the least id (null last), then of the least text hash, then the least other columns as JSON."""
     columns = docs.columns
-    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
+    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), th.alias("th"))
     found = near_duplicates(docs.select(key.alias("__key"), text_col), "__key", text_col, shingle, distance)
-    kept = found.select(F.col("component_id.id").alias("__id"), F.col("component_id.th").alias("__th")).distinct()
-    rows = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["__id"]) & (rows["__h"] == kept["__th"]), "left_semi")
-    first = rows.groupBy(id_col, "__h").agg(F.min(F.struct(*columns)).alias("__row"))
+    # one string as key of the join and of the grouping, so that texts are shuffled once
+    kept = found.select(F.to_json(F.struct("component_id.id", "component_id.th")).alias("__k")).distinct()
+    rows = docs.withColumn("__k", F.to_json(F.struct(F.col(id_col).alias("id"), th.alias("th")))).join(kept, "__k", "left_semi")
+    first = rows.groupBy("__k").agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*(c for c in columns if c not in (id_col, text_col)), F.lit(0)))).alias("__row"))
     return first.select(*(F.col("__row")[c].alias(c) for c in columns))

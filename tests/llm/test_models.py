@@ -25,7 +25,7 @@ def test_language(spark):
 def test_every_language_is_learned(spark):
     rows = [(2 * i + j, chr(0x4E00 + i) * (5 + j), f"l{i:03}") for i in range(300) for j in range(2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = langid.fit_sample(docs, max_fit=100)
+    model = langid.fit_sample(docs, per_lang=1)
     assert model.langs == sorted({r[2] for r in rows})
     assert {r.doc_id: r.lang_pred for r in langid.predict(docs.drop("lang"), model).collect()} == {i: lang for i, _, lang in rows}
 

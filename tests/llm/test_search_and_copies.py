@@ -77,7 +77,7 @@ def test_links_in_dense_balls(spark, run):
 def test_segments_leave_at_most_one_bit():
     for distance in (1, 2, 3, 4, 7):
         parts = simhash.segments(distance)
-        assert sum(n for _, n in parts) == 64 and distance // len(parts) <= 1
+        assert sorted(b for p in parts for b in p) == list(range(64)) and distance // len(parts) <= 1
 
 
 def _nearest(vectors, k):
@@ -159,3 +159,8 @@ def test_search_with_one_vector_far_outside():
     got = hnsw._search_shard(index, hnsw.pd.DataFrame({"query_id": range(0, 1_500, 50), "vector": list(vectors[::50])}), 10)
     near = [np.argsort(np.where(np.arange(1_500) == q, np.inf, ((vectors - vectors[q]) ** 2).sum(axis=1)), kind="stable")[:10] for q in range(0, 1_500, 50)]
     assert np.mean([len(set(got[got.query_id == q].vec_id) & set(n)) / 10 for q, n in zip(range(0, 1_500, 50), near)]) >= 0.95
+
+
+def test_one_of_each_with_map_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", {"k": 2}), (1, "a b c", {"k": 1}), (2, "A b c", None), (None, "else", {"x": 1})], "doc_id long, text string, extra map<string,int>")
+    assert sorted(((r.doc_id, r.text, r.extra) for r in simhash.one_of_each(docs).collect()), key=repr) == [(1, "a b c", {"k": 1}), (None, "else", {"x": 1})]

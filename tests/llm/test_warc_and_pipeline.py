@@ -44,7 +44,7 @@ def test_pushed_filters_skip_blocks(spark):
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
     left = list(reader.pushFilters([EqualTo(("warc_type",), "revisit"), GreaterThan(("payload_length",), 3)]))
-    assert len(left) == 1 and reader.wanted({"WARC-Type": "revisit"}) and not reader.wanted({"WARC-Type": "response"})
+    assert len(left) == 1 and reader.wanted({"warc-type": "revisit"}) and not reader.wanted({"warc-type": "response"})
 
 
 def test_archives_are_plain_gzip(spark):
@@ -59,6 +59,41 @@ def test_archives_are_plain_gzip(spark):
     assert text.count(b"\r\nWARC-Type: ") == 12 and text.startswith(b"WARC/1.1\r\n")
 
 
+#: As other tools write them: names in any case, no blank after a colon, a continued line, bare line feeds, a metadata block.
+OTHERS = [
+    b"WARC/1.0\r\nwarc-type:warcinfo\r\nWARC-Record-ID: <urn:uuid:0>\r\nContent-Type: application/warc-fields\r\nContent-Length: 13\r\n\r\nsoftware: x\r\n\r\n\r\n",
+    b"WARC/1.0\r\nWARC-TYPE: response\r\nWARC-Record-ID:<urn:uuid:1>\r\nWARC-Target-URI: http://a/\r\n  b\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: 38\r\n\r\nHTTP/1.1 200 OK\r\nA: b\r\n\r\nbody\r\n\r\nmore \r\n\r\n",
+    b"WARC/1.0\nWARC-Type: metadata\nWARC-Record-ID: <urn:uuid:2>\nContent-Type: text/plain\nContent-Length: 9\n\na\r\n\r\nb: c\r\n\r\n",
+    b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:3>\r\nWARC-Refers-To: <urn:uuid:1>\r\nContent-Type: application/http\r\nContent-Length: 19\r\n\r\nHTTP/1.1 200 OK\r\n\r\n\r\n\r\n",
+]
+
+
+@pytest.mark.parametrize("kind", ["plain", "members", "one member", "mixed"])
+def test_archives_of_other_tools(spark, tmp_path, kind):
+    parts = [gzip.compress(x) for x in OTHERS] if kind == "members" else [gzip.compress(b"".join(OTHERS))] if kind == "one member" else [warc.member(OTHERS[0]), *map(gzip.compress, OTHERS[1:])] if kind == "mixed" else OTHERS
+    path = tmp_path / ("a.warc" if kind == "plain" else "a.warc.gz")
+    path.write_bytes(b"".join(parts))
+    (tmp_path / "notes.txt").write_text("no archive")
+    for where in (tmp_path, path):
+        got = {r.record_id[10:-1]: r for r in warc.read(spark, str(where)).collect()}
+        assert [got[k].warc_type for k in "0123"] == ["warcinfo", "response", "metadata", "revisit"]
+        assert [None if got[k].payload is None else bytes(got[k].payload) for k in "0123"] == [b"software: x\r\n", b"body\r\n\r\nmore ", b"a\r\n\r\nb: c", None]
+        assert got["1"].target_uri == "http://a/ b" and got["3"].refers_to == "<urn:uuid:1>"
+    found = warc.read(spark, str(path))
+    assert [r.record_id for r in found.filter("warc_type = 'metadata'").collect()] == ["<urn:uuid:2>"]
+    done = {r.record_id[10:-1]: r for r in warc.resolved(found).collect()}
+    assert (done["3"].payload_length, done["3"].payload_digest) == (13, hashlib.sha256(b"body\r\n\r\nmore ").hexdigest())
+
+
+def test_broken_archives_are_errors(tmp_path):
+    from pyarrow import fs
+
+    for data in (OTHERS[0] + OTHERS[1][:-20], OTHERS[0] + b"WARC/1.0\r\nA: b", gzip.compress(OTHERS[1])[:-30], b"nothing of the kind\r\n\r\n"):
+        (tmp_path / "x.warc").write_bytes(data)
+        with pytest.raises(ValueError), fs.LocalFileSystem().open_input_file(str(tmp_path / "x.warc")) as f:
+            list(warc.records(f, lambda h: True))
+
+
 def test_empty_archive(spark):
     pages, _ = _pages(spark)
     path = common.scratch_path(spark, "warc-test")
