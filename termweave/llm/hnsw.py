@@ -9,8 +9,9 @@ top-k merges them. Work thus grows with queries times shards.
 
 A graph is searched over its points moved to their centre and scaled to 1, in single precision where a sample of them shows
 that it tells neighbours apart, else in double. What a beam finds is measured and cut in double precision on the original
-vectors. Points are inserted in batches: a batch searches the graph of the earlier ones at once, in array operations, and
-its members are candidates of each other. As points are ordered by level, a layer is the first rows of one array.
+vectors. Points are inserted in batches: a batch finds its candidates among the earlier ones at once, by a matrix product
+while those are PRODUCT_ROWS at most and by searching their graph beyond, and its members are candidates of each other. As
+points are ordered by level, a layer is the first rows of one array.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components take no part, nor do null ids; of
 rows that repeat an id, the least vector counts; only vectors of equal length are compared; equal distances go to the smaller
@@ -32,11 +33,13 @@ from .common import release, staged
 SHARD_BYTES, SPREAD_ROWS, QUERY_BYTES = 64 << 20, 16_384, 16 << 20
 #: Links of a point in an upper layer (twice that in the lowest), beam width of building, and of searching SPREAD_ROWS points
 #: or fewer (it grows with the square root of a shard's points beyond), points inserted or searched for at once.
-LINKS, EF_BUILD, EF_SEARCH, BATCH = 12, 40, 160, 256
+LINKS, EF_BUILD, EF_SEARCH, BATCH = 12, 40, 128, 256
 #: Points of a beam whose neighbours are looked at in one go.
 OPEN_AT_ONCE = 8
 #: Candidates that a point's links are chosen from, and lists of links that are chosen anew at once.
 CANDIDATES, LISTS_AT_ONCE = 32, 1_024
+#: Earlier points among which the candidates of a batch are found by one matrix product; among more, by searching the graph.
+PRODUCT_ROWS = 32_768
 #: Points whose neighbours tell whether single precision will do, and how far from the true ones those may be.
 PROBES, SLACK = 16, 1e-3
 
@@ -149,6 +152,14 @@ def _link_back(points: np.ndarray, links: np.ndarray, new: np.ndarray, targets:
             links[nodes[p]] = _diverse(points, points[nodes[p]], np.take_along_axis(cand, order, 1), np.take_along_axis(d, order, 1), cap)
 
 
+def _among(points: np.ndarray, norms: np.ndarray, x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of x the ``count`` nearest points, as found by their products, and their distances, nearest first."""
+    at = _nearest(norms - 2 * (x @ points.T), count)
+    dist = _squared(points, at, x)
+    by = np.argsort(dist, axis=1, kind="stable")
+    return np.take_along_axis(at, by, 1), np.take_along_axis(dist, by, 1)
+
+
 def build(points: np.ndarray, seed: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
     """(order, layers): points in order of insertion, and for each layer, lowest first, the neighbour array of its first rows."""
     n = len(points)
@@ -157,7 +168,7 @@ def build(points: np.ndarray, seed: int = 0) -> tuple[np.ndarray, list[np.ndarra
     order = np.argsort(-levels, kind="stable")
     levels, points = levels[order], points[order]
     layers = [np.full((int((levels >= k).sum()), LINKS * (2 if k == 0 else 1)), -1, dtype=np.int32) for k in range(int(levels[0]) + 1)]
-    done = 0
+    done, norms = 0, np.einsum("nd,nd->n", points, points)
     while done < n:
         level = levels[done]
         size = min(BATCH, max(LINKS, done), int(np.searchsorted(-levels, -level, side="right")) - done)
@@ -170,11 +181,12 @@ def build(points: np.ndarray, seed: int = 0) -> tuple[np.ndarray, list[np.ndarra
         peer_d = np.take_along_axis(within, peers, 1)
         peers = np.where(np.isfinite(peer_d), peers + done, -1)
         entry = np.zeros((size, 1), dtype=np.int64)
+        few = _among(points[:done], norms[:done], x, EF_BUILD) if 0 < done <= PRODUCT_ROWS else None
         for k in reversed(range(len(layers))):
-            if done and k > level:
+            if done and few is None and k > level:
                 entry = search_layer(points, layers[k][: min(done, len(layers[k]))], x, entry, 1)[0]
-            elif k <= level:
-                ids, dist = search_layer(points, layers[k][:done], x, entry, EF_BUILD) if done else (peers[:, :0], peer_d[:, :0])
+            elif k <= level:  # all earlier points are in this layer
+                ids, dist = few or (search_layer(points, layers[k][:done], x, entry, EF_BUILD) if done else (peers[:, :0], peer_d[:, :0]))
                 entry = ids[:, :4] if done else entry
                 ids, dist = np.concatenate([ids, peers], axis=1), np.concatenate([dist, peer_d], axis=1)
                 by = np.argsort(dist, axis=1, kind="stable")[:, :CANDIDATES]
