@@ -214,10 +214,10 @@ INDEX = "dim int, shard int, ids array<array<bigint>>, points binary, layer_rows
 
 
 def frame(points: np.ndarray) -> tuple[float, np.ndarray, float]:
-    """(unit, centre, spread): points / unit lies within 1; less its centre it is at most spread."""
+    """(unit, centre, spread): points / unit lies within 1; less its centre, the medians, which few points far off don't move, it is at most spread."""
     unit = float(np.abs(points).max())
     scaled = points / unit
-    centre = scaled.mean(axis=0)
+    centre = np.median(scaled, axis=0)
     return unit, centre, float(np.abs(scaled - centre).max()) or 1.0
 
 
