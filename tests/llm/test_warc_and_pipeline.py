@@ -126,7 +126,8 @@ def test_pipeline_stages(spark, tmp_path):
         docs = common.staged(stage(spark, docs, str(tmp_path)), f"stage-{k}")
         kept[name] = docs.collect()
         if k < len(pipeline.STAGES) - 1:
-            assert docs.columns == COLUMNS.replace(" long", "").replace(" string", "").split(", ")
+            assert docs.columns == [*COLUMNS.replace(" long", "").replace(" string", "").split(", "), "copies"]
+            assert {r.copies for r in kept[name]} == {"clash"}  # a further column goes along, whatever its name
     ids = lambda name: {r.doc_id for r in kept[name]}
     assert not ids("quality classifier") & set(range(100, 130)) and set(range(60)) <= ids("quality classifier")
     assert all("shared line" not in (r.text or "").lower() and r.n_chars == len(r.text) for r in kept["line dedup"])
