@@ -1,10 +1,15 @@
-"""What the operators share: the shared scratch folder, staged tables and bounded Arrow batches. No session setting is changed."""
+"""What the operators share: the shared scratch folder, staged tables and bounded Arrow batches.
+
+One setting of the session is changed: spark.sql.execution.arrow.maxBytesPerBatch is lowered to BATCH_BYTES where it is more. It
+only bounds what a batch holds, is never raised, and is the same for all operators, so lazy plans don't depend on their order.
+"""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,9 +24,9 @@ from pyspark.sql import types as T
 
 #: ASCII white space as the contracts define it: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
-#: Rows of whole texts that a worker turns into Python values at once. What a batch holds before is bounded by Spark's
-#: spark.sql.execution.arrow.maxBytesPerBatch (64 MB, or one row).
-TEXT_ROWS = 256
+#: Rows of whole texts that a worker turns into Python values at once, and bytes of an Arrow batch (or one row).
+TEXT_ROWS, BATCH_BYTES = 256, 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _made: dict[str, SparkSession] = {}
 
@@ -108,6 +113,12 @@ def scratch_scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
         _remove(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    said = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(_LIMIT).strip().lower())
+    if said is None or int(said[1]) << 10 * " kmgt".index(said[2] or " ") > BATCH_BYTES:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int | None = TEXT_ROWS) -> DataFrame:
     """mapInArrow over slices of at most ``rows`` rows; at its end a task gives freed memory back to the system, as workers are
     used again by later stages."""
@@ -120,6 +131,7 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
             ctypes.CDLL(None).malloc_trim(0)
 
     ship(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.mapInArrow(whole, schema)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from .common import ship, staged
+from .common import bound_batches, ship, staged
 
 #: Columns that are headers, and their names in a record.
 HEADERS = {
@@ -352,6 +352,7 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 def write(records_df: DataFrame, path: str, max_file_mb: float = 64) -> None:
     register(records_df.sparkSession)
+    bound_batches(records_df.sparkSession)
     records_df.write.format("warc").option("max_file_mb", str(max_file_mb)).mode("append").save(path)
 
 
