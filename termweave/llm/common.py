@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 #: ASCII white space as the contracts define it: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows of whole texts that a worker turns into Python values at once, and bytes of an Arrow batch (or one row).
-TEXT_ROWS, BATCH_BYTES = 256, 4 << 20
+TEXT_ROWS, BATCH_BYTES = 256, 1 << 19
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _made: dict[str, SparkSession] = {}
