@@ -31,7 +31,8 @@ _PLAIN = r"\A[\x00-\x7F\xA0-\xBF\xDF-\xFF\u2000-\u206F\u3000-\u303F\u4E00-\u9FFF
 
 def ascii_lower(col: Column) -> Column:
     """A-Z lower-cased and nothing else, by the faster lower() where the text has no character that it might change."""
-    return F.when(F.rlike(col, F.lit(_PLAIN)), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
+    plain = (F.octet_length(col) == F.char_length(col)) | F.rlike(col, F.lit(_PLAIN))
+    return F.when(plain, F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:

@@ -132,9 +132,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     offset = F.coalesce(F.sum("m").over(Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     buckets = salted.withColumn("offset", offset).join(copies, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
     buckets = buckets.join(targets.select(F.col("source").alias("t"), "source_size", "target"), F.col("source").eqNullSafe(F.col("t")))
-    buckets = staged(buckets.select(F.col("source").alias("__bs"), F.col("size").alias("__bz"), F.col("salt").alias("__bsalt"), "offset", "n", "total", "source_size", "target"), "mix-buckets")
-    buckets = buckets.select("__bs", "__bz", "__bsalt", *(F.col(c).alias(f"__b_{c}") for c in ("offset", "n", "total", "source_size", "target")))
-    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__s", "__z", "__salt").orderBy("__h", id_col, "__th")) - 1)
-    out = ranked.join(buckets, F.col("__s").eqNullSafe(F.col("__bs")) & (F.col("__z") == F.col("__bz")) & (F.col("__salt") == F.col("__bsalt")))
+    # one key without nulls for the ranks and the join on them, so that texts are shuffled once
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    buckets = staged(buckets.select(named(F.col("source")).alias("__k"), F.col("size").alias("__z"), F.col("salt").alias("__salt"), *(F.col(c).alias(f"__b_{c}") for c in ("offset", "n", "total", "source_size", "target"))), "mix-buckets")
+    ranked = rows.withColumn("__k", named(F.col("__s"))).withColumn("__rank", F.row_number().over(Window.partitionBy("__k", "__z", "__salt").orderBy("__h", id_col, "__th")) - 1)
+    out = ranked.join(buckets, ["__k", "__z", "__salt"])
     extra = F.expr("__b_total div __b_n") + (F.col("__b_offset") + F.col("__rank") < F.expr("__b_total % __b_n")).cast("long")
     return out.select(*keep, F.col("__z").alias("size"), F.col("__b_source_size").alias("source_size"), F.col("__b_target").alias("target"), extra.cast("int").alias("copies"))
