@@ -102,21 +102,28 @@ class AssociationSet:
     def similar_subjects(self, subjects: Sequence[str] | DataFrame, most_common: float = 1.0) -> DataFrame:
         """(a, b, c, j), a < b, of the given subjects that share a term (ASC-15).
 
-        A term that every one of them has is not joined on but counted, so roots make no pairs of their own beyond those that
-        other terms make; pairs that share such terms only are left to jaccard().
+        Terms that this share of the subjects or more have are not joined on, as each would make nearly all pairs: what a pair
+        has of them is the overlap of two short lists. Where there are such terms, the result is taken as dense over the list
+        of subjects that the caller gives; without any, pairs come from the join on terms alone.
         """
         mine = self.inferred.join(_list(self.spark, "subject", subjects), "subject", "left_semi")
         n = mine.groupBy("subject").agg(F.count("*").alias("n"))
         size = n.count()
         freq = mine.groupBy("term").agg(F.count("*").alias("f"))
-        common = freq.filter(F.col("f") >= F.lit(size * most_common))
-        shared_by_all = common.filter(F.col("f") == size).count()
+        common = cut(freq.filter(F.col("f") >= F.lit(size * most_common)).select("term"))
         rare = mine.join(common, "term", "left_anti")
-        c = rare.toDF("term", "a").join(rare.toDF("term", "b"), "term").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("c0"))
-        met = c.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").withColumn("c", F.col("c0") + shared_by_all)
+        shared = rare.toDF("term", "a").join(rare.toDF("term", "b"), "term").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("c0"))
+        lists = n.join(mine.join(common, "term", "left_semi").groupBy("subject").agg(F.collect_set("term").alias("often")), "subject", "left")
+        lists = lists.withColumn("often", F.coalesce("often", F.array().cast("array<string>")))
+        if common.limit(1).count():
+            every = lists.toDF("a", "na", "oa").join(lists.toDF("b", "nb", "ob"), F.col("a") < F.col("b"))  # dense by contract
+            met = every.join(shared, ["a", "b"], "left").na.fill(0, ["c0"])
+        else:
+            met = shared.join(lists.toDF("a", "na", "oa"), "a").join(lists.toDF("b", "nb", "ob"), "b")
+        met = met.withColumn("c", F.col("c0") + F.size(F.array_intersect("oa", "ob"))).filter("c > 0")
         return met.select("a", "b", "c", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("j"))
 
-    def enrichment(self, sample: Sequence[str] | DataFrame, background: Sequence[str] | DataFrame | None = None, hypotheses: Sequence[str] | None = None, threshold: float = 0.05, side: str = "greater") -> DataFrame:
+    def enrichment(self, sample: Sequence[str] | DataFrame, background: Sequence[str] | DataFrame | None = None, hypotheses: Sequence[str] | DataFrame | None = None, threshold: float = 0.05, side: str = "greater") -> DataFrame:
         """(term, sample_count, bg_count, p, p_adjusted), least p first (ASC-13).
 
         Hypotheses are the inferred terms of the sample, or those of the list; terms with one background subject are left out
@@ -127,7 +134,7 @@ class AssociationSet:
         sized = s.agg(F.count("*").alias("ns")).crossJoin(bg.agg(F.count("*").alias("nb")))  # one row by one row
         marked = self.inferred.join(bg, "subject", "left_semi").join(s.withColumn("in_s", F.lit(1)), "subject", "left")
         counts = marked.groupBy("term").agg(F.count("in_s").alias("sample_count"), F.count("*").alias("bg_count"))
-        counts = counts.filter("sample_count > 0") if hypotheses is None else counts.filter(F.col("term").isin(*hypotheses))
+        counts = counts.filter("sample_count > 0") if hypotheses is None else counts.join(_list(self.spark, "term", hypotheses), "term", "left_semi")
         counts = cut(counts.filter("bg_count > 1"))
         m = counts.count()
         a, c = F.col("sample_count"), F.col("bg_count") - F.col("sample_count")

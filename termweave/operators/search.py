@@ -131,7 +131,7 @@ def pivot_facet(docs: DataFrame, a: str, b: str, least: int = 1) -> DataFrame:
 
 def pivot_matrix(docs: DataFrame, a: str, b: str, values: Sequence[str]) -> DataFrame:
     """a and a column of counts for each value of b (GLR-08)."""
-    return docs.groupBy(a).pivot(b, list(values)).agg(F.count("*")).na.fill(0)
+    return docs.groupBy(a).pivot(b, list(values)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def unique_facet(docs: DataFrame, column: str, of: str) -> DataFrame:

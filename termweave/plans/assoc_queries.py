@@ -71,13 +71,28 @@ def sim_cosine_binary(spark, d):
     return S.cosine_binary(customers(spark, d), _pairs(spark, d)).withColumn("cosine", _r("cosine"))
 
 
-@query(f"""{SUP}, n AS (SELECT subject, count(*) AS n FROM i2 GROUP BY subject), rare AS (SELECT * FROM i2 WHERE term IN (SELECT term FROM i2 GROUP BY term HAVING count(*) < (SELECT count(*) FROM n))),
-  k AS (SELECT count(*) AS k FROM (SELECT term FROM i2 GROUP BY term HAVING count(*) = (SELECT count(*) FROM n))),
-  cc AS (SELECT x.subject AS a, y.subject AS b, count(*) AS c FROM rare x JOIN rare y ON x.term = y.term AND x.subject < y.subject GROUP BY ALL)
-  SELECT a, b, (c + k)::BIGINT AS c, round((c + k) / (p.n + q.n - c - k), 8)::DOUBLE AS j FROM cc CROSS JOIN k JOIN n p ON p.subject = a JOIN n q ON q.subject = b""")
-def assoc_similarity_matrix(spark, d):
+SIMILAR = f"""{SUP}, n AS (SELECT subject, count(*) AS n FROM i2 GROUP BY subject), cc AS (SELECT x.subject AS a, y.subject AS b, count(*) AS c FROM i2 x JOIN i2 y ON x.term = y.term AND x.subject < y.subject GROUP BY ALL)
+  SELECT a, b, c::BIGINT AS c, round(c / (p.n + q.n - c), 8)::DOUBLE AS j FROM cc JOIN n p ON p.subject = a JOIN n q ON q.subject = b"""
+
+
+def _similar(spark, d, most_common):
     s = suppliers(spark, d)
-    return s.similar_subjects(s.subjects).select("a", "b", F.col("c").cast("long").alias("c"), _r("j").alias("j"))
+    return s.similar_subjects(s.subjects, most_common).select("a", "b", F.col("c").cast("long").alias("c"), _r("j").alias("j"))
+
+
+@query(SIMILAR)
+def assoc_similarity_matrix(spark, d):
+    return _similar(spark, d, 1.0)
+
+
+@query(SIMILAR)
+def assoc_similarity_half_common(spark, d):
+    return _similar(spark, d, 0.5)
+
+
+@query(SIMILAR)
+def assoc_similarity_none_common(spark, d):
+    return _similar(spark, d, 2.0)
 
 
 def _fisher_sql(side: str) -> str:
@@ -94,7 +109,7 @@ def _fisher_sql(side: str) -> str:
 def _enrichment(spark, d, side):
     s = customers(spark, d)
     sample = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(cid("CUST", "c_custkey").alias("subject"))
-    some = [r.term for r in s.term_counts.filter("term like 'BRAND:%' or term like 'TYPE:%' or term like 'SIZE:%'").select("term").collect()]
+    some = s.term_counts.filter("term like 'BRAND:%' or term like 'TYPE:%' or term like 'SIZE:%'").select("term")
     return s.enrichment(sample, hypotheses=some, threshold=2.0, side=side).filter("sample_count > 0").select("term", "sample_count", "bg_count", _r("p").alias("p"))
 
 

@@ -97,14 +97,6 @@ def term_repair(spark, d):
     return P.repaired_terms(rows, nodes, repl).select("row_id", "term", F.coalesce("rule", F.lit(0)).alias("rule"), F.coalesce("level", F.lit("-")).alias("level"))
 
 
-@query(f"""WITH {LINES} SELECT row_id, concat_ws(chr(9), 'SUPP', l_suppkey, 'S' || l_suppkey, CASE WHEN qualifier LIKE 'NOT%' THEN 'NOT|enables' WHEN qualifier <> '' THEN qualifier ELSE CASE aspect WHEN 'P' THEN 'involved_in' WHEN 'F' THEN 'enables' ELSE 'located_in' END END,
-  term, reference, evidence, CASE WHEN has_with THEN 'PART:' || l_partkey || '|SUPP:' || l_suppkey || ',X:1' ELSE '' END, aspect, '', '', 'gene_product', 'taxon:' || l_suppkey, strftime(date, '%Y%m%d'), 'TST', 'part_of(CL:1)|occurs_in(CL:2),part_of(CL:3)', '') AS value
-  FROM lines WHERE NOT bad_taxon AND l_linenumber <> 7""")
-def gaf_round_trip(spark, d):
-    rows = _annotations(spark, d).filter("problem is null and references[0] like 'PMID:%'")
-    return rows.select("row_id", W.gaf_value(rows.columns, "2.2").alias("value"))
-
-
 @query(f"""WITH {LINES} SELECT row_id, concat_ws(chr(9), 'SUPP:' || l_suppkey, CASE WHEN qualifier LIKE 'NOT%' THEN 'NOT' ELSE '' END, CASE WHEN qualifier = '' THEN CASE aspect WHEN 'P' THEN 'involved_in' WHEN 'F' THEN 'enables' ELSE 'located_in' END ELSE replace(qualifier, 'NOT|', '') END,
   term, reference, evidence, CASE WHEN has_with THEN 'PART:' || l_partkey || '|SUPP:' || l_suppkey || ',X:1' ELSE '' END, '', strftime(date, '%Y-%m-%d'), 'TST', 'part_of(CL:1)|occurs_in(CL:2),part_of(CL:3)', '') AS value FROM lines WHERE NOT bad_taxon""")
 def gpad_lines(spark, d):
