@@ -324,7 +324,8 @@ def infer(rows: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with taxon_problem, new annotations) by the inference table (key, satisfiable, taxon_problem, inferences) (INF-01, INF-02).
 
     Each conjunction of extensions has a key of its own, and an annotation without any has one. New annotations keep the
-    subject, relation and evidence; term comes from the inference, and aspect from its relation; they have no extensions.
+    subject, relation and evidence; term comes from the inference, and aspect from its relation, which is inferred_relation; they
+    have no extensions.
     """
     conj = rows.select("*", F.explode_outer(F.when(F.size("extensions") > 0, F.col("extensions"))).alias("__u"))
     conj = conj.withColumn("__key", inference_key(F.col("relation"), F.col("term"), F.get("taxa", F.lit(0)), F.coalesce("__u", F.array().cast("array<struct<relation:string,term:string>>"))))
@@ -332,7 +333,7 @@ def infer(rows: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
     flags = met.groupBy("row_id").agg(F.max(F.coalesce(~F.col("satisfiable") & F.col("__problem"), F.lit(False))).alias("taxon_problem"))
     each = met.filter("satisfiable").select("row_id", "subject", "relation", "evidence", F.explode("inferences").alias("i"))
     labels = {k: v for label, k in RELATIONS.items() if k in RELATION_ASPECTS for k, v in ((k, RELATION_ASPECTS[k]), (label, RELATION_ASPECTS[k]))}
-    new = each.select("row_id", "subject", "relation", "evidence", F.col("i.term").alias("term"), F.element_at(_literal_map(labels), F.col("i.relation")).alias("aspect")).distinct()
+    new = each.select("row_id", "subject", "relation", "evidence", F.col("i.term").alias("term"), F.element_at(_literal_map(labels), F.col("i.relation")).alias("aspect"), F.col("i.relation").alias("inferred_relation")).distinct()
     return rows.drop("taxon_problem").join(flags, "row_id", "left"), new
 
 

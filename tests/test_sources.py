@@ -170,7 +170,7 @@ def test_lookups(spark, tmp_path):
     ext = F.array(F.array(F.struct(F.lit("p").alias("relation"), F.lit("C:1").alias("term"))))
     rows = spark.createDataFrame([(1, "S", "r", "GO:1", "IDA", ["T:1"])], "row_id long, subject string, relation string, term string, evidence string, taxa array<string>").withColumn("extensions", ext)
     flagged, new = rules.infer(rows, table)
-    assert [(r.relation, r.term) for r in new.collect()] == [("q", "GO:2")] and not flagged.first().taxon_problem
+    assert [(r.relation, r.term, r.inferred_relation) for r in new.collect()] == [("r", "GO:2", "q")] and not flagged.first().taxon_problem
     (tmp_path / "p.json").write_text(json.dumps({"patient": {"id": "P", "features": [{"id": "HP:1", "observed": "no"}], "disorders": [{"id": "MIM:5"}]}}))
     from termweave.operators.similarity import patient_features
 
