@@ -140,7 +140,9 @@ class AssociationSet:
         a, c = F.col("sample_count"), F.col("bg_count") - F.col("sample_count")
         b = F.col("ns") - a
         p = fisher(a, b, c, F.col("nb") - F.col("bg_count") - b, side)
-        out = counts.crossJoin(F.broadcast(sized)).select("term", "sample_count", "bg_count", p.alias("p"))
+        # p depends on the two counts alone, which many terms share
+        tables = cut(counts.select("sample_count", "bg_count").distinct().repartition("sample_count", "bg_count").crossJoin(F.broadcast(sized)).select("sample_count", "bg_count", p.alias("p")))
+        out = counts.join(tables, ["sample_count", "bg_count"]).select("term", "sample_count", "bg_count", "p")
         out = out.withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p") * m))
         return out.filter(F.col("p_adjusted") < threshold).orderBy("p", "term")
 

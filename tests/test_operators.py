@@ -121,6 +121,16 @@ def test_fisher(spark):
             assert got[cell[0]] == pytest.approx(want(*cell, side), rel=1e-9)
 
 
+def test_enrichment_tests_equal_counts_once(spark, monkeypatch):
+    rows = [(f"s{k}", t) for k in range(6) for t in ("t", "u", "v") if k < 4 or t == "v"]
+    made = assoc.AssociationSet(spark.createDataFrame(rows, "subject string, object string"), Ontology.of_edges(spark.createDataFrame([], "sub string, pred string, obj string")))
+    got = {r.term: (r.sample_count, r.bg_count, r.p) for r in made.enrichment(["s0", "s1"], threshold=2.0, side="two-sided").collect()}
+    assert got["t"] == got["u"] == (2, 4, pytest.approx(7 / 15)) and got["v"] == (2, 6, 1.0)
+    monkeypatch.setattr(assoc, "fisher", lambda *_: F.rand())
+    got = {r.term: r.p for r in made.enrichment(["s0", "s1"], threshold=2.0).collect()}
+    assert got["t"] == got["u"] != got["v"]
+
+
 def test_mica_and_mrca(spark, onto):
     pairs = spark.createDataFrame([("b", "c"), ("d", "e"), ("a", "z")], "a string, b string")
     closed = onto.closure()
