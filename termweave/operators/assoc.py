@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import fisher
 from ..functions.lineage import cut
+from .blocks import shared_counts
+from .closure import closure
 from .ontology import Ontology
 
 THING = "owl:Thing"
+#: Ancestors of sets of parents that are broadcast, of 8 bytes each; more are joined.
+LOOKED_UP = 500_000
 
 
 def of_associations(rows: DataFrame) -> DataFrame:
@@ -99,29 +103,36 @@ class AssociationSet:
         union = F.col("na") + F.col("nb") - F.col("c")
         return met.select("a", "b", F.when(union > 0, F.col("c") / union).otherwise(0.0).alias("j"))
 
-    def similar_subjects(self, subjects: Sequence[str] | DataFrame, most_common: float = 1.0) -> DataFrame:
-        """(a, b, c, j), a < b, of the given subjects that share a term (ASC-15).
+    def numbered(self, subjects: DataFrame | None = None) -> DataFrame:
+        """(subject, terms), in two rows of a subject at most: its terms and all their ancestors as numbers, a row without doubles.
 
-        Terms that this share of the subjects or more have are not joined on, as each would make nearly all pairs: what a pair
-        has of them is the overlap of two short lists. Where there are such terms, the result is taken as dense over the list
-        of subjects that the caller gives; without any, pairs come from the join on terms alone.
+        The same pairs as ``inferred``, without a row for each on the way: terms are told by the set of their parents, which many
+        share, so that associations are shuffled as they are, and only sets of parents meet their ancestors.
         """
-        mine = self.inferred.join(_list(self.spark, "subject", subjects), "subject", "left_semi")
-        n = mine.groupBy("subject").agg(F.count("*").alias("n"))
-        size = n.count()
-        freq = mine.groupBy("term").agg(F.count("*").alias("f"))
-        common = cut(freq.filter(F.col("f") >= F.lit(size * most_common)).select("term"))
-        rare = mine.join(common, "term", "left_anti")
-        shared = rare.toDF("term", "a").join(rare.toDF("term", "b"), "term").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("c0"))
-        lists = n.join(mine.join(common, "term", "left_semi").groupBy("subject").agg(F.collect_set("term").alias("often")), "subject", "left")
-        lists = lists.withColumn("often", F.coalesce("often", F.array().cast("array<string>")))
-        if common.limit(1).count():
-            every = lists.toDF("a", "na", "oa").join(lists.toDF("b", "nb", "ob"), F.col("a") < F.col("b"))  # dense by contract
-            met = every.join(shared, ["a", "b"], "left").na.fill(0, ["c0"])
-        else:
-            met = shared.join(lists.toDF("a", "na", "oa"), "a").join(lists.toDF("b", "nb", "ob"), "b")
-        met = met.withColumn("c", F.col("c0") + F.size(F.array_intersect("oa", "ob"))).filter("c > 0")
-        return met.select("a", "b", "c", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("j"))
+        parents = self.ontology.parents(self.relations).filter("id <> parent")
+        sets = cut(parents.groupBy(F.col("id").alias("term")).agg(F.array_sort(F.collect_set("parent")).alias("parents")))
+        above = sets.select(F.explode("parents").alias("term")).distinct()
+        upper = sets.join(above, "term", "left_semi").select(F.col("term").alias("sub"), F.explode("parents").alias("obj"))
+        kinds = cut(sets.select("parents").distinct().withColumn("kind", F.monotonically_increasing_id()))
+        first = kinds.select("kind", F.explode("parents").alias("term"))
+        reached = cut(first.unionAll(first.join(closure(upper), "term").select("kind", F.col("anc").alias("term"))).distinct())
+        direct = self.assoc.filter("subject is not null and object is not null").select("subject", F.col("object").alias("term"))
+        ids = cut(direct.select("term").unionAll(reached.select("term")).distinct().withColumn("id", F.monotonically_increasing_id()))
+        told = ids.join(sets, "term", "left").join(kinds, "parents", "left").select("term", "id", "kind")
+        lists = direct.join(told, "term").groupBy("subject").agg(F.collect_set("id").alias("terms"), F.collect_set("kind").alias("kinds"))
+        lists = cut(lists if subjects is None else lists.join(subjects, "subject", "left_semi"))
+        known = cut(reached.join(ids, "term").groupBy("kind").agg(F.collect_list("id").alias("ids")))
+        known = F.broadcast(known) if reached.count() <= LOOKED_UP else known
+        more = lists.select("subject", F.explode("kinds").alias("kind")).join(known, "kind").select("subject", F.explode("ids").alias("id")).distinct()
+        return lists.select("subject", "terms").unionAll(more.groupBy("subject").agg(F.collect_list("id").alias("terms")))
+
+    def similar_subjects(self, subjects: Sequence[str] | DataFrame, most_common: float = 1.0, digits: int | None = None) -> DataFrame:
+        """(a, b, c, j), a < b, of the given subjects that share a term; j rounded to ``digits`` if given (ASC-15).
+
+        Subjects meet in blocks, where the counts decide which terms are common enough for a matrix product (``blocks``). So
+        neither the result nor the work depends on ``most_common``, the share from which callers take a term as common.
+        """
+        return shared_counts(cut(self.numbered(_list(self.spark, "subject", subjects))), digits)
 
     def enrichment(self, sample: Sequence[str] | DataFrame, background: Sequence[str] | DataFrame | None = None, hypotheses: Sequence[str] | DataFrame | None = None, threshold: float = 0.05, side: str = "greater") -> DataFrame:
         """(term, sample_count, bg_count, p, p_adjusted), least p first (ASC-13).
