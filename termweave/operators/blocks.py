@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 
 #: A block's subjects and terms at most, on average; blocks are dealt by hash.
-SUBJECTS, TERMS = 4096, 2_000_000
+SUBJECTS, TERMS = 4096, 1_000_000
 #: Pairs in a batch of results, and meetings of rarer terms that are held at once.
 CELLS, MEETINGS = 1 << 18, 1 << 22
 #: A meeting of two lists costs about as much as so many cells of a matrix product.
@@ -32,8 +32,10 @@ def _pack(table: pa.Table) -> pa.Table:
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     row = np.repeat(names.indices.to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
     ids, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    both = np.unique(row * max(1, len(ids)) + at)
-    row, at = both // max(1, len(ids)), both % max(1, len(ids))
+    row *= max(1, len(ids))
+    row += at
+    row.sort()
+    row, at = np.divmod(row[np.diff(row, prepend=-1) > 0], max(1, len(ids)))
     n, f = (np.bincount(x, minlength=size).astype(np.int32) for x, size in ((row, len(names.dictionary)), (at, len(ids))))
     cells = [n, ids.astype(np.int64), at.astype(np.int32), f, row[np.argsort(at, kind="stable")].astype(np.int32)]
     block = table["block"][0].as_py()
@@ -48,7 +50,9 @@ def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 def _cells(x: dict, y: dict) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, c): how many terms some rows of x and all rows of y share."""
     nx, ny = len(x["n"]), len(y["n"])
-    at = np.minimum(np.searchsorted(y["ids"], x["ids"]), max(0, len(y["ids"]) - 1))
+    if not len(x["ids"]) or not len(y["ids"]):
+        return
+    at = np.minimum(np.searchsorted(y["ids"], x["ids"]), len(y["ids"]) - 1)
     met = y["ids"][at] == x["ids"]
     fx, fy, start = np.bincount(x["by_row"], minlength=len(x["ids"])), np.where(met, y["f"][at], 0).astype(np.int64), (np.cumsum(y["f"], dtype=np.int64) - y["f"])[at]
     often = met & (fx * fy * DENSE >= nx * ny)  # what many have: a matrix product; it has at most 10 cells for each term of a subject
